@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, shuffle_parts, table
 
@@ -413,12 +415,25 @@ def _joined(doc, lo, hi, k1, k2):
     return tuple(np.concatenate(x) for x in ((d, doc[rest]), (l, lo[rest]), (h, hi[rest]), (zero, k1[rest]), (zero, k2[rest])))
 
 
+def _squeeze(batches):
+    """Compress the texts (second column): they cross two shuffles."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        data = pa.array([squeeze(x) for x in b.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), data, *b.columns[2:]], b.schema.names)
+
+
+def _texts(column) -> list[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in column.to_pylist()]
+
+
 def _contexts(length: int):
-    """Cut the bytes of each context out of its document; rows are (doc_id, data, contexts)."""
+    """Cut the bytes of each context out of its document; rows are (doc_id, squeezed data, contexts)."""
 
     def run(batches):
         for b in batches:
-            datas = b.column(1).to_pylist()
+            datas = _texts(b.column(1))
             size = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
             flat = b.column(2).flatten()
             block, s, n, p, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
@@ -450,7 +465,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("block", "start", "n", "place", "hot")).alias("rows"))
     )
-    contexts = docs.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "data", "rows").mapInArrow(_contexts(length), _CONTEXT)
+    squeezed = docs.mapInArrow(_squeeze, docs.schema)
+    contexts = squeezed.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "data", "rows").mapInArrow(_contexts(length), _CONTEXT)
     judged = (
         contexts.repartition(parts, "block")
         .sortWithinPartitions("block")
@@ -486,7 +502,7 @@ def merge_spans(row: np.ndarray, lo: np.ndarray, hi: np.ndarray):
 
 def _kept(batches):
     for b in batches:
-        datas = b.column(1).to_pylist()
+        datas = _texts(b.column(1))
         size = pc.fill_null(pc.list_value_length(b.column(2)), 0).to_numpy(zero_copy_only=False)
         flat = b.column(2).flatten()
         length = np.fromiter(map(len, datas), np.int64, len(datas))
@@ -512,22 +528,51 @@ def _kept(batches):
         )
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_contexts: int = BLOCK_CONTEXTS) -> DataFrame:
+def _kept_rows(batches):
+    """The same with the kept text and the input row; a character of which a part is removed goes whole."""
+
+    def both():
+        for b in batches:
+            row.append(b.column(3))
+            yield b.select(["doc_id", "data", "spans"])
+
+    row: list = []
+    for out in _kept(both()):
+        text = pa.array([x.decode("utf-8", "ignore") for x in out.column(4).to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*out.columns[:4], text, row.pop()], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text", "row"])
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_contexts: int = BLOCK_CONTEXTS, rows: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs``; ``kept`` are the remaining bytes.
 
     Null texts count as empty; texts shorter than ``length`` are kept whole. doc_id orders the
     documents, so it is expected to be unique: rows that repeat a doc_id and its text are one place
     and each come out like that one document, different texts under one doc_id share their spans,
-    and rows with a null doc_id are kept whole. Other columns are not read.
+    and rows with a null doc_id are kept whole. Other columns are not read, unless ``rows`` asks for
+    the kept text as a string and the rest of each input row as a struct (kept_text and row, in place of kept).
     """
     bounded_batches(docs.sparkSession)
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    spans = repeated_spans(data.where("doc_id is not null"), length, gram, block_contexts)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    whole = [F.struct(*[docs[c] for c in others]).alias("row")] if rows else []
+    data = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), *whole
+    )
+    spans = repeated_spans(data.where("doc_id is not null").select("doc_id", "data"), length, gram, block_contexts)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = data.join(per_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "data", "spans")
+    joined = data.mapInArrow(_squeeze, data.schema).join(per_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "data", "spans", *(["row"] if rows else []))
+    if rows:
+        schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
+        return joined.mapInArrow(_kept_rows, schema.add("kept_text", "string").add("row", data.schema["row"].dataType))
     return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def without_repeats(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with repeated passages cut from their texts and n_chars counted anew; rows of which nothing is left go."""
+    out = remove_repeats(docs, rows=True, **params).where("kept_text <> ''")
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
