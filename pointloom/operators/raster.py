@@ -106,4 +106,8 @@ def dense(raster: DataFrame, channels: Sequence[str], keys: Sequence[str], heigh
         *[F.map_from_entries(F.collect_list(F.struct(F.col("row") * width + F.col("col"), F.col(c)))).alias(c) for c in channels]
     )
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(height * width - 1).cast("bigint"))
-    return cells.select(*keys, *[F.transform(every, lambda k, c=c: F.coalesce(F.col(c)[k], F.lit(0.0)).cast("float")).alias(c) for c in channels])
+
+    def filled(c: str):
+        return F.transform(every, lambda k: F.coalesce(F.col(c)[k], F.lit(0.0)).cast("float")).alias(c)
+
+    return cells.select(*keys, *[filled(c) for c in channels])
