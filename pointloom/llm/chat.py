@@ -235,8 +235,8 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(25 + 2 * length(role) + 2 * length(text)
-            - length(replace(replace(role, '\', ''), '<|', '.')) - length(replace(replace(text, '\', ''), '<|', '.'))) AS BIGINT) AS formatted_chars,
+       CAST(sum(24 + 3 * length(role) - length(replace(role, '\', '')) - length(replace(role, '<|', '.'))
+            + 3 * length(text) - length(replace(text, '\', '')) - length(replace(text, '<|', '.'))) AS BIGINT) AS formatted_chars,
        false AS rewrites_history
 FROM c GROUP BY conv_id
 """

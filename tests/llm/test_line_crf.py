@@ -50,7 +50,8 @@ def test_counts():
 
 
 def test_rules(spark):
-    clean = "\n".join(f"The {i}th sentence of this page says number {i * 7} in a few plain words." for i in range(12))
+    rng = np.random.default_rng(0)
+    clean = "\n".join("The " + " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(14)) + "." for _ in range(12))
     junk = " ".join(f"word{i}%%% thing{i}###" for i in range(60))
     docs = [(1, clean, True), (2, junk, True), (3, None, True), (4, "few words", True), (5, "again and again " * 40, True), (None, clean, True), (1, clean, True), (6, clean + "\n" + junk, True), (7, "x" * 200_000, True)]
     df = spark.createDataFrame(docs, "doc_id long, text string, kept boolean")
