@@ -59,6 +59,12 @@ def test_small_tables_are_exact_with_ties(spark):
     assert got == brute(vectors)
 
 
+def test_units():
+    u = M.Units.of(np.array([3, 0, 4, 9, 1, 1, 30]), 8)
+    assert u.low.tolist() == [0, 3, 4, 6] and u.high.tolist() == [3, 4, 6, 7] and u.parts.tolist() == [1, 2, 1, 4]
+    assert u.of_cell.tolist() == [0, 0, 0, 1, 2, 2, 3]
+
+
 def test_few_and_none(spark):
     df = frame(spark, [(20, [1.0, 2.0]), (3, [1.0, 1.0]), (4, [0.0, 1.0])])
     assert [tuple(r) for r in sorted(M.search(df).collect())] == [(20, 1, 3, 3.0), (20, 2, 4, 2.0)]
