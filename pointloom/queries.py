@@ -231,10 +231,11 @@ def qa_overview(spark, sf_dir):
     return rounded(qa.overview(flagged_tiles(spark, sf_dir)))
 
 
-@query(f"""SELECT scan_id, tile_idx_i, CAST(sum(point_count) AS BIGINT) AS points, CAST(sum(CASE WHEN {PASS} THEN 1 ELSE 0 END) AS BIGINT) AS approved
-    FROM (SELECT 'scan0' AS scan_id, * FROM {tiles_sql(FLAGGED)} q) t GROUP BY ROLLUP (scan_id, tile_idx_i)""")
+@query(f"""SELECT coalesce(t.scan_id, 'all') AS scan_id, coalesce(t.tile_idx_i, -1) AS tile_idx_i, CAST(sum(point_count) AS BIGINT) AS points, CAST(sum(CASE WHEN {PASS} THEN 1 ELSE 0 END) AS BIGINT) AS approved
+    FROM (SELECT 'scan0' AS scan_id, * FROM {tiles_sql(FLAGGED)} q) t GROUP BY ROLLUP (t.scan_id, t.tile_idx_i)""")
 def qa_rollup(spark, sf_dir):
-    return qa.report_rollup(flagged_tiles(spark, sf_dir))
+    report = qa.report_rollup(flagged_tiles(spark, sf_dir))
+    return report.withColumns({"scan_id": F.coalesce("scan_id", F.lit("all")), "tile_idx_i": F.coalesce("tile_idx_i", F.lit(-1).cast("bigint"))})
 
 
 @query("SELECT 'scan0' AS scan_id, count(*) / 10000.0 >= 1.0 AS density_ok, avg(intensity) >= 1 AS intensity_ok FROM p")
