@@ -37,10 +37,12 @@ OUT = frozenset("nav footer aside form dialog menu button fieldset label datalis
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion promoted sidebar aside comment comments "
-    "commentlist disqus discussion replies reply respond cookie cookies consent gdpr newsletter subscribe subscription share sharing social "
+    "commentlist disqus discussion replies reply respond responses trackback pingback feedback cookie cookies consent gdpr newsletter subscribe subscription share sharing social "
     "related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation popup modal overlay banner notice notification "
     "alert widget pagination pager masthead login signup signin register search toolbar footer copyright".split()
 )
+#: Words that end so are furniture too, as in topnav or pagefooter.
+_OUT_END = re.compile(r"(?:nav|navbar|menu|sidebar|footer|comments?|cookies?|adverts?|banner|popup)$")
 OUT_PAGE = frozenset("header head topbar top bottom foot".split())
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
@@ -69,7 +71,7 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name in ("class", "id"):
             words = set(_WORD.findall(value))
-            if words & OUT_NAMES or not in_article and words & OUT_PAGE:
+            if words & OUT_NAMES or any(map(_OUT_END.search, words)) or not in_article and words & OUT_PAGE:
                 return True
     return False
 

@@ -183,11 +183,15 @@ def fit(counts: dict[str, Counter], vocabulary: dict[bytes, int], rounds: int =
 
 def sample_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict[str, Counter]:
     """Word counts of at most ``per_lang`` documents of each language, drawn by a hash of the id outside fold 2."""
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    first = ["lang", F.pmod("h", F.lit(64))]  # a language with a third of all rows is ranked in parts, then what is left of them
+    order = ["h", "id"]
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
     drawn = (
         known.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"))
-        .withColumn("r", F.row_number().over(rank))
+        .withColumn("h", F.xxhash64("id"))
+        .withColumn("r", F.row_number().over(Window.partitionBy(*first).orderBy(*order)))
+        .where(F.col("r") <= per_lang)
+        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .where(F.col("r") <= per_lang)
         .select("id", "lang")
         .distinct()
