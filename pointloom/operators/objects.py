@@ -102,7 +102,7 @@ def along_axis(points: DataFrame, least: int = 2) -> DataFrame:
     turned = m.where(F.col("n") >= least).select("cluster_id", "n", principal_angle(F.col("uu"), F.col("vv"), F.col("uv")).alias("a"))
     t = c.join(turned, "cluster_id").withColumn("t", F.round(u * F.cos("a") + v * F.sin("a"), 9))
     w = Window.partitionBy("cluster_id").orderBy("t", "point_id")
-    return t.withColumn("seq", F.row_number().over(w) - 1).drop("mx", "my", "u", "v", "a")
+    return t.withColumn("seq", (F.row_number().over(w) - 1).cast("bigint")).drop("mx", "my", "u", "v", "a")
 
 
 def extract_markings(points: DataFrame) -> DataFrame:
