@@ -47,8 +47,8 @@ class Preprocess:
     def tiles(self, prepared: DataFrame) -> DataFrame:
         return tiling.tile_stats(prepared, self.config)
 
-    def summary(self, points: DataFrame, prepared: DataFrame, tiles: DataFrame, epsg: int | None = None) -> DataFrame:
-        """One row: counts, and metadata flags of all scans together.
+    def summary(self, points: DataFrame, tiles: DataFrame, epsg: int | None = None) -> DataFrame:
+        """One row: counts, and metadata flags of all scans together. Every filtered point lies in one tile, so tiles count them.
 
         ``qa_approved_tiles`` counts tiles whose every flag and statistic holds; ``qa_exported_tiles`` those that are exported
         as approved.
@@ -56,11 +56,13 @@ class Preprocess:
         meta = self.validate(points, epsg).agg(
             F.sum("point_count").alias("input_points"), F.min("crs_ok").alias("crs_ok"), F.min("has_rgb").alias("has_rgb"), F.min("has_intensity").alias("has_intensity")
         )
-        kept = prepared.agg(F.count("*").alias("filtered_points"))
         counts = tiles.agg(
-            F.count("*").alias("total_tiles"), F.count_if(qa.all_flags(tiles)).alias("qa_approved_tiles"), F.count_if(qa.approved()).alias("qa_exported_tiles")
+            F.coalesce(F.sum("point_count"), F.lit(0)).alias("filtered_points"),
+            F.count("*").alias("total_tiles"),
+            F.count_if(qa.all_flags(tiles)).alias("qa_approved_tiles"),
+            F.count_if(qa.approved()).alias("qa_exported_tiles"),
         )
-        one = meta.crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(counts))  # one row each
+        one = meta.crossJoin(F.broadcast(counts))  # one row each
         return one.select("input_points", "filtered_points", "total_tiles", "qa_approved_tiles", "qa_exported_tiles", "crs_ok", "has_rgb", "has_intensity")
 
     def run(self, points: DataFrame, output: str, epsg: int | None = None) -> dict:
@@ -71,6 +73,6 @@ class Preprocess:
             tiles = self.tiles(plain).persist(StorageLevel.MEMORY_AND_DISK)
             writers.save_metadata(self.validate(points, epsg), f"{output.rstrip('/')}/meta_scan.json")
             writers.export_routed(prepared, tiles, output)
-            return self.summary(points, plain, tiles, epsg).first().asDict()
+            return self.summary(points, tiles, epsg).first().asDict()
         finally:
             prepared.unpersist()

@@ -255,8 +255,7 @@ PIPELINE = Config(qa=QAConfig(density=0.9))
     count(*) FILTER ({PASS}) AS qa_exported_tiles, true AS crs_ok, true AS has_rgb, true AS has_intensity FROM {tiles_sql("n", 0.9)} t""")
 def pipeline_summary(spark, sf_dir):
     plan, points = Preprocess(PIPELINE), A.points(spark, sf_dir)
-    ready = plan.prepared(points)
-    return plan.summary(points, ready, plan.tiles(ready))
+    return plan.summary(points, plan.tiles(plan.prepared(points)))
 
 
 @query(PREPARED + f"SELECT {TILE_ROUND} FROM {tiles_sql('n', 0.9)} t")
