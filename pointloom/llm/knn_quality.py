@@ -94,9 +94,13 @@ def fit(x: np.ndarray, quality: np.ndarray, prior: float, dimensions: int = DIME
     found = (x[:, : 1 << BUCKET_BITS] > 0).sum(axis=0)
     weight = np.log((1 + len(x)) / (1 + found)).astype(np.float32) + np.float32(0.1)
     a = _weighed(x, weight).astype(float)
-    values, vectors = np.linalg.eigh(a.T @ a)
+    wide = a.shape[1] > len(a)  # the smaller of both products has the same singular values
+    values, vectors = np.linalg.eigh(a @ a.T if wide else a.T @ a)
     top = np.argsort(-values)[: min(dimensions, len(x))]
-    project = vectors[:, top].astype(np.float32)
+    project = vectors[:, top]
+    if wide:
+        project = a.T @ project / np.sqrt(np.maximum(values[top], 1e-12))
+    project = project.astype(np.float32)
     project *= np.where(project.sum(axis=0) < 0, -1, 1)
     share = max(quality.mean(), 1e-9), max(1 - quality.mean(), 1e-9)
     vote = np.where(quality == 1, prior / share[0], (1 - prior) / share[1])
