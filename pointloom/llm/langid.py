@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, table
+from .common import bounded_batches, fold, table, tidy
 
 #: Bounds of the sample that the model is fitted on: documents of each language, languages, words of each.
 SAMPLE_PER_LANG = 400
@@ -27,16 +27,28 @@ EM_ROUNDS = 3
 SMOOTHING = 0.02
 MAX_PIECE = 16
 CACHE_WORDS = 200_000
+SLICE_CHARS = 400_000
 #: Words of more bytes take the scaled pass, one by one.
 LONG_WORD = 48
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def load_pieces(path: str) -> dict[bytes, int]:
-    """Pieces of a rank file, one base64 piece and its rank a line, of at most MAX_PIECE bytes."""
+    """Pieces of a rank file, one base64 piece and its rank a line, of at most MAX_PIECE bytes.
+
+    What only begins a piece has number -1, so that a search can stop where no piece goes on.
+    """
     with open(path, "rb") as f:
         ranks = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, f))
-    return {piece: i for i, piece in enumerate(p for _, p in ranks if len(p) <= MAX_PIECE)}
+    pieces = {piece: i for i, piece in enumerate(p for _, p in ranks if len(p) <= MAX_PIECE)}
+    for piece in list(pieces):
+        for k in range(1, len(piece)):
+            pieces.setdefault(piece[:k], -1)
+    return pieces
+
+
+def count_pieces(vocabulary: dict[bytes, int]) -> int:
+    return 1 + max(vocabulary.values())
 
 
 def words(text: str | None) -> list[str]:
@@ -52,9 +64,11 @@ class Lattice:
         for k, w in enumerate(texts):
             n = len(w)
             for i in range(n):
-                for j in range(i + 1, min(i + MAX_PIECE, n) + 1):
+                for j in range(i + 1, n + 1):
                     p = get(w[i:j])
-                    if p is not None:
+                    if p is None:
+                        break
+                    if p >= 0:
                         own.append(k)
                         start.append(i)
                         end.append(j)
@@ -104,7 +118,7 @@ def scaled_forward(word: bytes, vocabulary: dict[bytes, int], prob: np.ndarray)
     log = np.full((n + 1, prob.shape[1]), -np.inf)
     log[0] = 0.0
     for e in range(1, n + 1):
-        rows = [log[i] + np.log(prob[p]) for i in range(max(0, e - MAX_PIECE), e) if (p := vocabulary.get(word[i:e])) is not None]
+        rows = [log[i] + np.log(prob[p]) for i in range(max(0, e - MAX_PIECE), e) if (p := vocabulary.get(word[i:e], -1)) >= 0]
         if rows:
             log[e] = np.logaddexp.reduce(rows, axis=0)
     return log[n]
@@ -119,29 +133,29 @@ class Scorer:
         self.rows = np.zeros((0, prob.shape[1]))
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
-        """Log likelihood [text, language]; NaN where a text has no letter."""
-        counts = [Counter(words(t)) for t in texts]
+        """Log likelihood [text, language]; NaN where a text has no letter. Words are held for SLICE_CHARS of text at a time."""
         out = np.full((len(texts), self.prob.shape[1]), np.nan)
-        i = 0
-        while i < len(texts):  # texts that bring about a quarter of a cache of new words
-            new: dict[str, None] = {}
-            j = i
-            while j < len(texts) and (j == i or len(new) < CACHE_WORDS // 4):
-                new.update(dict.fromkeys(w for w in counts[j] if w not in self.known))
-                j += 1
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known, self.rows = {}, np.zeros((0, self.prob.shape[1]))
-                new = dict.fromkeys(w for c in counts[i:j] for w in c)
-            if new:
-                self.learn(list(new))
-            for k in range(i, j):
-                if counts[k]:
-                    at = np.fromiter(map(self.known.__getitem__, counts[k]), np.int64, len(counts[k]))
-                    n = np.fromiter(counts[k].values(), float, len(at))
-                    out[k] = n @ self.rows[at]
-            i = j
+        first = chars = 0
+        for k, t in enumerate(texts):
+            chars += len(t or "")
+            if chars >= SLICE_CHARS or k == len(texts) - 1:
+                self._slice(texts, first, k + 1, out)
+                first, chars = k + 1, 0
         return out
 
+    def _slice(self, texts: list[str | None], first: int, stop: int, out: np.ndarray) -> None:
+        counts = [Counter(words(t)) for t in texts[first:stop]]
+        new = dict.fromkeys(w for c in counts for w in c if w not in self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, self.rows = {}, np.zeros((0, self.prob.shape[1]))
+            new = dict.fromkeys(w for c in counts for w in c)
+        if new:
+            self.learn(list(new))
+        for k, c in enumerate(counts, first):
+            if c:
+                at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
+                out[k] = np.fromiter(c.values(), float, len(c)) @ self.rows[at]
+
     def learn(self, new: list[str]) -> None:
         texts = [b" " + w.encode() for w in new]
         out = np.zeros((len(new), self.prob.shape[1]))
@@ -166,13 +180,13 @@ def fit(counts: dict[str, Counter], vocabulary: dict[bytes, int], rounds: int =
     every word has a segmentation.
     """
     langs = sorted(counts)
-    prob = np.zeros((len(vocabulary), len(langs)))
+    prob = np.zeros((count_pieces(vocabulary), len(langs)))
     for k, lang in enumerate(langs):
         top = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS]
         top = [(w, n) for w, n in top if len(w.encode()) < LONG_WORD] or [("a", 1)]
         lattice = Lattice([b" " + w.encode() for w, _ in top], vocabulary)
         weight = np.array([n for _, n in top], float)
-        p = np.bincount(lattice.arcs[3], weight[lattice.arcs[0]], len(vocabulary)) + smoothing
+        p = np.bincount(lattice.arcs[3], weight[lattice.arcs[0]], len(prob)) + smoothing
         p /= p.sum()
         for _ in range(rounds):
             p = lattice.expected(p, weight) + smoothing
@@ -210,7 +224,7 @@ def sample_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict[str,
             k, w, n = zip(*rows[i : i + 20_000])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    counted = chosen.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = chosen.mapInArrow(tidy(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= MAX_WORDS)
     out: dict[str, Counter] = {}
     for r in top.select("lang", "word", "n").toLocalIterator():
@@ -246,7 +260,7 @@ def detect(docs: DataFrame, model, vocabulary_path: str) -> DataFrame:
                 pred = ["und" if x else langs[k] for x, k in zip(none.tolist(), best.tolist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model, vocabulary_path: str, least: float = 0.5) -> DataFrame:
@@ -268,7 +282,7 @@ def keep_known(docs: DataFrame, model, vocabulary_path: str, least: float = 0.5)
             score = 1.0 / np.exp(np.minimum(ll - ll.max(axis=1, keepdims=True), 0)).sum(axis=1)
             yield b.filter(pa.array(known & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def public_vocabulary() -> str:
