@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage, table
+from .common import bounded_batches, cut_lineage, table, tidy
 
 WINDOW = 1024
 #: Entries of the word cache of a Python worker.
@@ -134,8 +134,7 @@ def pieces(docs: DataFrame, tokenizer: tuple, window: int = WINDOW) -> DataFrame
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
     )
 
 
@@ -312,7 +311,7 @@ def pack(docs: DataFrame, tokenizer: tuple, window: int = WINDOW) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [*columns, "sequence_id", "offset"])
 
     return ranked.select(*columns, (F.col("base") + F.col("rank")).cast("long").alias("at"), "ids").mapInArrow(
-        settle, ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"])
+        tidy(settle), ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"])
     )
 
 

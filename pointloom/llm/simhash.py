@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage, shuffle_parts, table
+from .common import bounded_batches, cut_lineage, shuffle_parts, table, tidy
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, seed:
             fps = np.array([fingerprint(t, words_per_shingle, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
@@ -169,7 +169,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, til
     )
     bounded_batches(spark)
     work = plain.union(pairs).repartition(n, "key").sortWithinPartitions("key", "fp")
-    return work.mapInArrow(_compare(radius), "a long, b long")
+    return work.mapInArrow(tidy(_compare(radius)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

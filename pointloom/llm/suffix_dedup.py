@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shuffle_parts, table
+from .common import bounded_batches, shuffle_parts, table, tidy
 
 LENGTH = 100
 GRAM = 24
 #: Starts of a text that are looked at together, and the bits that hold a place among them.
-CHUNK = 1 << 22
+CHUNK = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 #: Contexts of one anchor that are sorted together; more are cut into blocks of so many.
 BLOCK_CONTEXTS = 1024
@@ -205,8 +205,8 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit:
         claim = common_extension(h, x, y, limit) >= limit
         true = np.zeros(len(near), bool)
         reach = np.arange(limit)
-        for i in range(0, len(near), 65_536):
-            part = slice(i, i + 65_536)
+        for i in range(0, len(near), 4_096):
+            part = slice(i, i + 4_096)
             true[part] = (data[x[part, None] + reach] == data[y[part, None] + reach]).all(axis=1)
         same[near] = true
         for g in np.unique(group[near[claim != true]]).tolist():  # hashes collided
@@ -238,7 +238,7 @@ def _record(names: str, *arrays) -> pa.RecordBatch:
 #: What the first step tells: an anchor (kind 0), or a span that is removed already (kind 1: start and n are its ends).
 _FOUND = _ANCHOR + ", kind int"
 #: Anchors that a task gathers before it settles equal contexts among them.
-_GATHER = 400_000
+_GATHER = 120_000
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -396,7 +396,7 @@ def _compare(length: int):
         for b in batches:
             rows = _columns(b)
             held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            if len(held[0]) >= 4_000:
+            if len(held[0]) >= 2_000:
                 last = int(np.searchsorted(held[0] == held[0][-1], True))
                 if last:
                     yield judge([x[:last] for x in held])
@@ -451,12 +451,12 @@ def _contexts(length: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_contexts: int = BLOCK_CONTEXTS) -> DataFrame:
     """(doc_id, lo, hi): byte spans of ``docs(doc_id, data)`` to remove; spans may overlap or touch."""
     parts = shuffle_parts(docs.sparkSession)
-    found = docs.mapInArrow(_find(length, gram), _FOUND)
+    found = docs.mapInArrow(tidy(_find(length, gram)), _FOUND)
     to = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc_id"))
     grouped = (
         found.repartition(parts, to)
         .sortWithinPartitions("kind", "a", "c", "doc_id", "start")
-        .mapInArrow(_group(length, block_contexts), _GROUPED)
+        .mapInArrow(tidy(_group(length, block_contexts)), _GROUPED)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     equal = grouped.where("lo >= 0").select("doc_id", "lo", "hi")
@@ -465,12 +465,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("block", "start", "n", "place", "hot")).alias("rows"))
     )
-    squeezed = docs.mapInArrow(_squeeze, docs.schema)
-    contexts = squeezed.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "data", "rows").mapInArrow(_contexts(length), _CONTEXT)
+    squeezed = docs.mapInArrow(tidy(_squeeze), docs.schema)
+    contexts = squeezed.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "data", "rows").mapInArrow(tidy(_contexts(length)), _CONTEXT)
     judged = (
         contexts.repartition(parts, "block")
         .sortWithinPartitions("block")
-        .mapInArrow(_compare(length), _JUDGED)
+        .mapInArrow(tidy(_compare(length)), _JUDGED)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     settled = judged.where("hi >= 0").select("doc_id", "lo", "hi")
@@ -548,7 +548,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     Null texts count as empty; texts shorter than ``length`` are kept whole. doc_id orders the
     documents, so it is expected to be unique: rows that repeat a doc_id and its text are one place
     and each come out like that one document, different texts under one doc_id share their spans,
-    and rows with a null doc_id are kept whole. Other columns are not read, unless ``rows`` asks for
+    and rows with a null doc_id are kept whole. Two tables stay persisted, as the result is lazy;
+    spark.catalog.clearCache() frees them. Other columns are not read, unless ``rows`` asks for
     the kept text as a string and the rest of each input row as a struct (kept_text and row, in place of kept).
     """
     bounded_batches(docs.sparkSession)
@@ -559,11 +560,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     )
     spans = repeated_spans(data.where("doc_id is not null").select("doc_id", "data"), length, gram, block_contexts)
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = data.mapInArrow(_squeeze, data.schema).join(per_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "data", "spans", *(["row"] if rows else []))
+    joined = data.mapInArrow(tidy(_squeeze), data.schema).join(per_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "data", "spans", *(["row"] if rows else []))
     if rows:
         schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
-        return joined.mapInArrow(_kept_rows, schema.add("kept_text", "string").add("row", data.schema["row"].dataType))
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        return joined.mapInArrow(tidy(_kept_rows), schema.add("kept_text", "string").add("row", data.schema["row"].dataType))
+    return joined.mapInArrow(tidy(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(docs: DataFrame, **params) -> DataFrame:
