@@ -195,7 +195,11 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     Repeated rows (same doc_id and text) become one. Rows with a null doc_id cannot be ordered: only
     exact copies among them become one.
     """
-    of = near_duplicates(docs, **params)
+    return first_rows(docs, near_duplicates(docs, **params))
+
+
+def first_rows(docs: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``of(doc_id, component_id)`` names first, each once, and those with a null doc_id."""
     first = of.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
     named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_first"), "left_semi")
     rows = named.unionByName(docs.where("doc_id is null"))
