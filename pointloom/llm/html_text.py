@@ -1,10 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block element gives a line; what stands in menus, headers, footers,
-sidebars, notices, adverts, forms, comments and scripts leaves empty lines. Text lengths are summed over
-sliding windows of lines: where a window surges over the threshold the main text begins, where the next
-window holds nothing it dives and ends, and the text between is kept. Inside an article or main
-element every line with text surges.
+sidebars, notices, adverts, forms, comments and scripts is left out. Text lengths are summed over sliding windows
+of the lines that hold text, on every page: where a window surges over the threshold the main text begins, where the next
+window holds nothing it dives and ends. Lines of links have no length, and furniture with text is a
+gap as wide as a window. The text between the first surge and the last dive is kept where no furniture
+separates them; so is what else stands in an article, main or other element that holds kept text.
 """
 
 from __future__ import annotations
@@ -19,10 +20,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, table
 
 WINDOW = 3
-#: Characters in a window from which text surges where no element marks the article.
+#: Characters in a window from which text surges.
 SURGE = 86
-#: A region is main text if it has this share of the characters of the largest.
-REGION_SHARE = 0.3
 #: A line that is mostly links has no length of its own.
 LINK_SHARE = 0.7
 
@@ -33,6 +32,8 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SPACED = frozenset("br td th option img".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that hold parts of a text together.
+BOXES = frozenset("article blockquote center div main section td".split())
 OUT = frozenset("nav footer aside form dialog menu button fieldset label datalist".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 OUT_NAMES = frozenset(
@@ -59,7 +60,7 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element is page furniture, by its tag, role or names."""
     if tag in OUT or tag == "header" and not in_article:
         return True
-    if not attrs or tag in ("html", "body", "main", "article"):
+    if not attrs or tag in ("html", "body"):
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
@@ -76,50 +77,75 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], list[bool], bool]:
-    """(text, characters in links) of each line, whether it lies in an article, and whether there is one.
+def lines(html: str, by_name: bool = True, judged: bool = True) -> tuple[list[tuple[str | None, int, int, int]], list[int]]:
+    """(text, characters in links, article, box) of each line that holds text, and the parent of each box.
 
-    Lines of page furniture are empty. Character references are decoded after the markup is gone.
+    Article and box are numbers of the elements around it, 0 if there is none. Furniture with text is a line whose text is
+    None. ``judged`` tells whether article elements can be furniture. Character references are decoded after the markup is gone.
     """
     page = _RAW.sub(" ", _COMMENT.sub("", html))
-    out: list[tuple[str, int]] = []
-    inside: list[bool] = []
+    out: list[tuple[str | None, int, int, int]] = []
     parts: list[str] = []
     link_parts: list[str] = []
-    depth = links = 0
-    skip, level = "", 0  # the furniture element at hand, and how deep its own tag nests
-    found = False
+    depth = links = articles = 0
+    skip, level, silent = "", 0, True  # the furniture element at hand, how deep its own tag nests, and whether it has no text yet
+    parents, stack, opened = [0], [("", 0)], dict.fromkeys(BOXES, 0)
 
     def end() -> None:
         text = " ".join(unescape("".join(parts)).split()) if parts else ""
-        linked = len(" ".join(unescape(" ".join(link_parts)).split())) if link_parts else 0
-        out.append((text, linked))
-        inside.append(depth > 0)
+        if text:
+            linked = len(" ".join(unescape(" ".join(link_parts)).split())) if link_parts else 0
+            out.append((text, linked, articles if depth else 0, stack[-1][1]))
         parts.clear()
         link_parts.clear()
 
+    def enter(tag: str) -> None:
+        parents.append(stack[-1][1])
+        stack.append((tag, len(parents) - 1))
+        opened[tag] += 1
+
+    def leave(tag: str) -> None:
+        while opened[tag]:
+            last, _ = stack.pop()
+            opened[last] -= 1
+            if last == tag:
+                break
+
     at = 0
     for m in _TAG.finditer(page):
-        if m.start() > at and not skip:
+        if m.start() > at:
             text = page[at : m.start()]
-            parts.append(text)
-            if links:
-                link_parts.append(text)
+            if not skip:
+                parts.append(text)
+                if links:
+                    link_parts.append(text)
+            elif silent and text.strip():
+                out.append((None, 0, 0, 0))
+                silent = False
         at = m.end()
         closing, tag, attrs = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
         if not tag:
             continue
         tag = tag.lower()
-        if tag in SPACED:
+        if tag in SPACED and not skip:
             parts.append(" ")
-        if tag in ARTICLE:
+        if tag in ARTICLE and skip not in ARTICLE:
             end()
-            if closing:
-                depth = max(0, depth - 1)
-            else:
-                depth, found = depth + 1, True
-                if skip and skip not in OUT:  # a wrapper with a misleading name
-                    skip = ""
+            noise = not closing and judged and _noise(tag, attrs if by_name else "", depth > 0)
+            if noise and not skip:
+                skip, level, silent = tag, 1, True
+            elif not noise:
+                if closing:
+                    depth = max(0, depth - 1)
+                else:
+                    articles += not depth
+                    depth += 1
+                    if skip and skip not in OUT:  # a wrapper with a misleading name
+                        for _ in range(level if skip in BOXES else 0):
+                            enter(skip)
+                        skip = ""
+                if not skip:
+                    leave(tag) if closing else enter(tag)
             continue
         if tag in BLOCKS:
             end()
@@ -130,6 +156,8 @@ def lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], list[
                     skip = ""
             elif tag == "a":
                 links = max(0, links - 1)
+            elif tag in BOXES and not skip:
+                leave(tag)
         elif skip:
             level += tag == skip and not attrs.endswith("/")
         elif tag not in VOID and not attrs.endswith("/"):
@@ -137,11 +165,13 @@ def lines(html: str, by_name: bool = True) -> tuple[list[tuple[str, int]], list[
                 links = 1
             elif _noise(tag, attrs if by_name else "", depth > 0):
                 end()
-                skip, level = tag, 1
+                skip, level, silent = tag, 1, True
+            elif tag in BOXES:
+                enter(tag)
     if not skip:
         parts.append(page[at:])
     end()
-    return out, inside, found
+    return out, parents
 
 
 def regions(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -164,24 +194,52 @@ def regions(lengths: list[int], surge: int, window: int = WINDOW) -> list[tuple[
     return out
 
 
+def _main(rows: list[tuple[str | None, int, int, int]], parents: list[int]) -> list[str]:
+    """The lines that are main text."""
+    linked = [t is not None and k > LINK_SHARE * len(t) for t, k, _, _ in rows]
+    lengths, line = [], []
+    for i, (t, _, _, _) in enumerate(rows):
+        wide = WINDOW if t is None else 1
+        lengths += [0 if t is None or linked[i] else len(t)] * wide
+        line += [i] * wide
+    spans = regions(lengths, SURGE)
+    if not spans:  # a page of short lines: all of its articles, or all it has
+        if any(x for _, _, x, _ in rows):
+            return [t for t, _, x, _ in rows if x and t]
+        spans = regions(lengths, 1)
+    keep = [False] * len(rows)
+    last = None
+    for a, b in spans:
+        a, b = line[a], line[b - 1] + 1
+        if last is not None and all(t is not None for t, *_ in rows[last:a]):
+            a = last
+        keep[a:b] = [True] * (b - a)
+        last = b
+    articles = {x for k, (_, _, x, _) in zip(keep, rows) if k} - {0}
+    held = {box for k, (t, _, _, box) in zip(keep, rows) if k and t} - {0}
+    inside = [False] * len(parents)
+    for box in range(1, len(parents)):
+        inside[box] = box in held or inside[parents[box]]
+    out, begun = [], False
+    for k, links, (t, _, x, box) in zip(keep, linked, rows):
+        begun = begun or k and not box
+        if t and (k or x in articles or not links and (inside[box] or not box and begun)):
+            out.append(t)
+    return out
+
+
 def extract(html: str | None) -> str:
     """The main text of a page: its blocks in order, joined by line ends; empty if there is none."""
     if not html:
         return ""
-    rows, inside, found = lines(html)
-    if not found and not any(text for text, _ in rows):
-        rows, inside, found = lines(html, by_name=False)  # names misled
-    if found:
-        lengths, surge = [len(t) if x else 0 for (t, _), x in zip(rows, inside)], 1
-    else:
-        lengths, surge = [0 if k > LINK_SHARE * len(t) else len(t) for t, k in rows], SURGE
-    spans = regions(lengths, surge)
-    if not spans and not found:
-        spans = regions(lengths, 1)
-    sizes = [sum(lengths[a:b]) for a, b in spans]
-    least = 0 if found else REGION_SHARE * max(sizes, default=0)
-    keep = [t for (a, b), n in zip(spans, sizes) if n >= least for (t, _), x in zip(rows[a:b], inside[a:b]) if t and (x or not found)]
-    return "\n".join(keep)
+    rows, parents = lines(html)
+    if not any(x for _, _, x, _ in rows) and re.search("<(?:article|main)", html, re.I):
+        again = lines(html, judged=False)  # all article elements were judged to be furniture, or hold nothing
+        if any(x for _, _, x, _ in again[0]):
+            rows, parents = again
+    if not any(text for text, *_ in rows):
+        rows, parents = lines(html, by_name=False, judged=False)  # names misled
+    return "\n".join(_main(rows, parents))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
