@@ -18,3 +18,13 @@ def test_article_elements_are_judged():
     assert H.extract(f"<article><p>{LONG * 2}</p></article>{noise}") == (LONG * 2).strip()
     assert H.extract(f"<article hidden><p>{LONG}</p></article><article><p>Seen.</p></article>") == "Seen."
     assert H.extract(f"<div>Top</div><article class='has-sidebar'><p>{LONG}</p></article>").endswith(LONG.strip())
+
+
+def test_short_parts_are_kept():
+    for tag in ("div", "section"):
+        page = f"<body><{tag}><p>{LONG * 9}</p></{tag}><{tag}><p>He agreed.</p></{tag}><{tag}><h2>Next</h2><p>{LONG}</p></{tag}><{tag}><p>End.</p></{tag}></body>"
+        assert H.extract(page) == "\n".join([(LONG * 9).strip(), "He agreed.", "Next", LONG.strip(), "End."])
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(6))
+    for inline in (AD, f"<ul>{links}</ul>"):
+        got = H.extract(f"<body><div><p>{LONG * 9}</p>{inline}<p>He agreed.</p></div></body>")
+        assert got.startswith(LONG.strip()) and got.endswith("\nHe agreed.") and "Buy" not in got
