@@ -149,7 +149,7 @@ def marking_contrast(spark, sf_dir):
 @query()
 def kmeans_materials(spark, sf_dir):
     ready = attributes.normalise(A.points(spark, sf_dir))
-    return attributes.preclassify(ready, seeds=(0,)).groupBy("material").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 3).alias("intensity"))
+    return attributes.preclassify(ready).groupBy("material").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 3).alias("intensity"))
 
 
 # --- tiles and QA -----------------------------------------------------------------------------------
