@@ -27,10 +27,6 @@ def index(c: Column) -> Column:
     return c.cast("bigint")
 
 
-def round_half_even(c: Column) -> Column:
-    return F.rint(c).cast("bigint")
-
-
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in metres between points in degrees."""
     p1, p2 = F.radians(lat1), F.radians(lat2)

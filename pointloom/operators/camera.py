@@ -7,7 +7,7 @@ from math import cos, pi, sin, tan
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import index, round_half_even
+from ..functions.scalar import index
 from . import axis as axes
 
 #: The six views around a pose and their angles to the axis, in degrees.
@@ -23,8 +23,9 @@ def project(points: DataFrame, yaw: float = 0.0, width: int = 1024, height: int
     turned = points.withColumns({"depth": F.col("x") * c - F.col("y") * s, "_y": F.col("x") * s + F.col("y") * c}).where("depth > 0")
     u = F.lit(float(focal)) * (F.col("_y") / F.col("depth")) + width / 2
     v = F.lit(float(focal)) * (F.col("z") / F.col("depth")) + height / 2
-    seen = turned.withColumns({"col": index(u), "row": index(v)}).drop("_y")
-    return seen.where((F.col("row") >= 0) & (F.col("row") < height) & (F.col("col") >= 0) & (F.col("col") < width))
+    # tested as doubles: beside the camera a pixel is too far out for any integer. What lies in (-1, 0) is cut to 0.
+    seen = turned.withColumns({"_u": u, "_v": v}).where((F.col("_u") > -1) & (F.col("_u") < width) & (F.col("_v") > -1) & (F.col("_v") < height))
+    return seen.withColumns({"col": index(F.col("_u")), "row": index(F.col("_v"))}).drop("_y", "_u", "_v")
 
 
 def directions(spark: SparkSession) -> DataFrame:
@@ -71,10 +72,11 @@ def project_views(pairs: DataFrame, views: DataFrame, width: int = 1920, height:
         {"depth": F.cos("view_yaw") * dx + F.sin("view_yaw") * dy, "_y": -F.sin("view_yaw") * dx + F.cos("view_yaw") * dy}
     )
     front = turned.where("depth > 0")
-    u = round_half_even(F.lit(fx) * (F.col("_y") / F.col("depth")) + width / 2.0)
-    v = round_half_even(F.lit(fx) * ((F.col("pz") - F.col("z")) / F.col("depth")) + height / 2.0)
-    seen = front.withColumns({"u": u, "v": v}).drop("_y")
-    return seen.where((F.col("u") >= 0) & (F.col("u") < width) & (F.col("v") >= 0) & (F.col("v") < height))
+    u = F.rint(F.lit(fx) * (F.col("_y") / F.col("depth")) + width / 2.0)
+    v = F.rint(F.lit(fx) * ((F.col("pz") - F.col("z")) / F.col("depth")) + height / 2.0)
+    # tested as rounded doubles, before the cast: beside the camera a pixel is too far out for any integer
+    seen = front.withColumns({"_u": u, "_v": v}).where((F.col("_u") >= 0) & (F.col("_u") < width) & (F.col("_v") >= 0) & (F.col("_v") < height))
+    return seen.withColumns({"u": F.col("_u").cast("bigint"), "v": F.col("_v").cast("bigint")}).drop("_y", "_u", "_v")
 
 
 def z_buffer(projected: DataFrame, keys: list[str]) -> DataFrame:

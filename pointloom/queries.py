@@ -406,14 +406,14 @@ def camera_project(spark, sf_dir):
 
 
 VIEWS = ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in camera.DIRECTIONS)
-SEEN = f"""(SELECT * FROM (SELECT *, CAST(round_even(fx * (yc / depth) + 960.0, 0) AS BIGINT) AS u, CAST(round_even(fx * ((pz - z) / depth) + 540.0, 0) AS BIGINT) AS v FROM
+SEEN = f"""(SELECT * FROM (SELECT *, round_even(fx * (yc / depth) + 960.0, 0) AS u, round_even(fx * ((pz - z) / depth) + 540.0, 0) AS v FROM
     (SELECT *, cos(vy) * (x - px) + sin(vy) * (y - py) AS depth, -sin(vy) * (x - px) + cos(vy) * (y - py) AS yc, 1920 / (2.0 * tan(60.0 * pi() / 180.0 / 2.0)) AS fx FROM
     (SELECT s.i AS pose_idx, s.x AS px, s.y AS py, m + 2.0 AS pz, p.point_id, p.x, p.y, p.z, direction, atan2(ty, tx) + radians(off) AS vy
     FROM {sample_sql('road', 10)} s JOIN p ON (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) <= 900, (SELECT avg(z) AS m FROM p) h, (VALUES {VIEWS}) d(direction, off)) a) b WHERE depth > 0) c
     WHERE u >= 0 AND u < 1920 AND v >= 0 AND v < 1080)"""
 
 
-@query(f"""SELECT pose_idx, direction, point_id, u AS px, v AS py, round(depth, 6) AS depth FROM
+@query(f"""SELECT pose_idx, direction, point_id, CAST(u AS BIGINT) AS px, CAST(v AS BIGINT) AS py, round(depth, 6) AS depth FROM
     (SELECT *, row_number() OVER (PARTITION BY pose_idx, direction, u, v ORDER BY depth, point_id) AS k FROM {SEEN} t) z WHERE k = 1""")
 def camera_zbuffer(spark, sf_dir):
     seen = camera.views_along_axis(A.points(spark, sf_dir), A.road(spark))

@@ -209,6 +209,15 @@ def test_projection(spark):
     assert turned.depth == pytest.approx(10)
 
 
+def test_points_beside_a_camera_are_out_of_view(spark):
+    beside = cloud(spark, [(1e-300, 5, 0), (1e-300, -5, 0), (1e-300, 0, 9), (10, 0, 0)], COLS[:3])
+    assert [r.point_id for r in camera.project(beside).collect()] == [3]
+    north = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 0.0, 10.0)], "axis_id long, seq long, x double, y double")
+    flat = cloud(spark, [(5, 0, 0), (-5, 0, 0), (0, 20, 0)], COLS[:3])  # the first two have a depth of 3e-16 in front or behind
+    rows = camera.views_along_axis(flat, north, step=20.0).where("direction = 'front'").collect()
+    assert [r.point_id for r in rows] == [2]
+
+
 def test_views_keep_the_nearest_point(spark):
     road_ = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("a", 1, 20.0, 0.0, 0.0)], "axis_id string, seq int, x double, y double, z double")
     df = cloud(spark, [(5, 0, 2), (9, 0, 2), (9, 0, 2), (-5, 0, 2), (100, 0, 2)], COLS[:3])
