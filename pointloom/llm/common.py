@@ -45,10 +45,12 @@ def tidy(run):
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names; a local one is made only where none is set."""
+    """The shared folder that the session names. Where none is named, one is made if all runs on this machine; a cluster must name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "")
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pointloom-checkpoint-"))
     return (named or sc.getCheckpointDir()).rstrip("/")
 
@@ -59,6 +61,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table in whatever store the path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_checkpoint(*frames: DataFrame | None) -> None:
+    """Delete what ``cut_lineage`` wrote for frames that nothing reads any more."""
+    for df in frames:
+        file = df._jdf.logicalPlan().rdd().getCheckpointFile() if df is not None else None
+        if file is not None and file.isDefined():
+            delete(df.sparkSession, file.get())
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 4; fold 2 is held out everywhere. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4, F.lit(0)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, drop_checkpoint
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -35,13 +35,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``edges(a, b)``; root is the smallest node reachable.
 
     Nodes that have no edge are absent. Rounds are logarithmic in the longest path; each
-    round's edges are written to the shared checkpoint folder. Null endpoints are ignored.
+    round's edges are written to the shared checkpoint folder in place of those before. Null endpoints are ignored.
     """
     cur = edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct()
     cur = cut_lineage(cur)
     mark = None
     for _ in range(max_rounds):
-        cur = cut_lineage(_star(_star(cur, large=True), large=False))
+        before, cur = cur, cut_lineage(_star(_star(cur, large=True), large=False))
+        drop_checkpoint(before)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

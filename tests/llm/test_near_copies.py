@@ -1,5 +1,6 @@
 import corpus_pipeline
 import numpy as np
+import pytest
 from pointloom.llm import near_copies as N
 from pointloom.llm import simhash
 
@@ -51,6 +52,44 @@ def test_stage_drops_what_is_similar_at_more_than_four_bits(spark):
     assert {r.doc_id: r.component_id for r in N.near_copies(df).collect()} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("load, texts", [(1500, 4096), (1 << 20, 3), (300, 2)])
+def test_units_of_any_size_lose_no_link(spark, load, texts):
+    texts_, want = corpus(), groups(corpus())
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_copies(df, load, texts).collect()} == dict(enumerate(want))
+
+
+def test_forest_equals_all_pairs():
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 900, np.uint64)
+    sets = [np.unique(rng.choice(pool[k % 7 * 90 :][:270], int(rng.integers(1, 260)))) for k in range(600)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**63, 1 + len(s) // 12, np.uint64)])) for s in sets[:300]]
+
+    def closed(links):
+        comp = list(range(len(sets)))
+        for a, b in links:
+            x, y = comp[a], comp[b]
+            comp = [min(x, y) if c in (x, y) else c for c in comp]
+        return comp
+
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if N.similar(sets[a], sets[b])]
+    assert len(pairs) > 200
+    found = N.similar_forest(sets)
+    assert all(N.similar(sets[a], sets[b]) for a, b in found) and closed(found) == closed(pairs)
+    side = np.arange(len(sets)) % 2
+    assert closed(N.similar_forest(sets, side)) == closed([p for p in pairs if side[p[0]] != side[p[1]]])
+
+
+def test_bands_are_shared_as_often_as_they_should_be():
+    rng = np.random.default_rng(5)
+    n, shared = 0, 0
+    for _ in range(400):
+        both, a, b = (rng.integers(0, 2**63, k, np.uint64) for k in (160, 20, 20))
+        same = N.bands(np.concatenate([both, a])) == N.bands(np.concatenate([both, b]))
+        n, shared = n + 1, shared + same.sum()
+    assert abs(shared / (n * N.BANDS) - 0.8**N.ROWS) < 0.03
+
+
 def test_large_group_null_ids_and_empty(spark):
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in rng.integers(0, 300, 200)]
