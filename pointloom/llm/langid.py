@@ -3,78 +3,104 @@
 Each language has probabilities over the pieces of a fixed public vocabulary. A word's likelihood is the sum
 over all its segmentations into pieces of the product of their probabilities, computed by a forward
 pass; a text's is the product over its words. The probabilities are fitted by expectation maximisation
-(forward and backward passes over the same lattices) on the words of a bounded sample of labelled documents.
+(forward and backward passes over the same lattices) on the words of a bounded sample of labelled documents; each language
+is fitted by a task of its own.
+
+All segmentations of the first e bytes of a word cover e bytes, so a factor for each byte of a piece changes every sum
+over them by the same power. That keeps the sums of ordinary words in range; where it does not, and for words of more
+than LONG_WORD bytes, the passes run over logarithms.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold, table, tidy
+from .common import bounded_batches, fold, shuffle_parts, table, tidy
 
-#: Bounds of the sample that the model is fitted on: documents of each language, languages, words of each.
+#: Bounds of the sample that the model is fitted on: documents of each language, and languages (those of most documents).
 SAMPLE_PER_LANG = 400
-MAX_LANGS = 200
-MAX_WORDS = 60_000
+MAX_LANGS = 256
 EM_ROUNDS = 3
 SMOOTHING = 0.02
-MAX_PIECE = 16
 CACHE_WORDS = 200_000
 SLICE_CHARS = 400_000
-#: Words of more bytes take the scaled pass, one by one.
-LONG_WORD = 48
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words of more bytes take the pass over logarithms, one by one.
+LONG_WORD = 160
+#: Logarithm of the factor for each byte of a piece, about what a byte of text costs.
+BYTE = 2.5
+#: Sums outside these are taken again over logarithms.
+LEAST, MOST = 1e-280, 1e280
+#: Cells of the arrays that a batch of words takes.
+CELLS = 2_000_000
+#: Letters and other numeric signs than decimal digits, which ``words`` parts from them.
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def load_pieces(path: str) -> dict[bytes, int]:
-    """Pieces of a rank file, one base64 piece and its rank a line, of at most MAX_PIECE bytes.
+    """All pieces of a rank file, one base64 piece and its rank a line.
 
     What only begins a piece has number -1, so that a search can stop where no piece goes on.
     """
     with open(path, "rb") as f:
         ranks = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, f))
-    pieces = {piece: i for i, piece in enumerate(p for _, p in ranks if len(p) <= MAX_PIECE)}
+    pieces = {piece: i for i, (_, piece) in enumerate(ranks)}
     for piece in list(pieces):
         for k in range(1, len(piece)):
             pieces.setdefault(piece[:k], -1)
     return pieces
 
 
-def count_pieces(vocabulary: dict[bytes, int]) -> int:
-    return 1 + max(vocabulary.values())
+def lengths(vocabulary: dict[bytes, int]) -> np.ndarray:
+    """Bytes of each piece."""
+    out = np.zeros(1 + max(vocabulary.values()), np.int64)
+    for piece, i in vocabulary.items():
+        if i >= 0:
+            out[i] = len(piece)
+    return out
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    """Runs of letters (Unicode categories L) in lower case."""
+    if not text:
+        return []
+    found = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return list(chain.from_iterable([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split() for w in found))
+
+
+def arcs(word: bytes, vocabulary: dict[bytes, int]) -> list[tuple[int, int, int]]:
+    """(start, end, piece) of all pieces in a word."""
+    get = vocabulary.get
+    out = []
+    for i in range(len(word)):
+        for j in range(i + 1, len(word) + 1):
+            p = get(word[i:j])
+            if p is None:
+                break
+            if p >= 0:
+                out.append((i, j, p))
+    return out
 
 
 class Lattice:
     """All pieces that occur in each of some words, in arrays; a word is its bytes after one space."""
 
     def __init__(self, texts: list[bytes], vocabulary: dict[bytes, int]):
-        own, start, end, piece = [], [], [], []
-        get = vocabulary.get
-        for k, w in enumerate(texts):
-            n = len(w)
-            for i in range(n):
-                for j in range(i + 1, n + 1):
-                    p = get(w[i:j])
-                    if p is None:
-                        break
-                    if p >= 0:
-                        own.append(k)
-                        start.append(i)
-                        end.append(j)
-                        piece.append(p)
+        each = [arcs(w, vocabulary) for w in texts]
+        count = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.array(list(chain.from_iterable(each)), np.int64).reshape(-1, 3).T
+        a = np.concatenate([np.repeat(np.arange(len(texts)), count)[None], flat])
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
-        a = np.array([own, start, end, piece], np.int64).reshape(4, -1)
         self.arcs = a[:, np.lexsort((a[0], a[2]))]  # by end, then word
         self.longest = int(self.size.max(initial=0))
 
@@ -92,8 +118,8 @@ class Lattice:
                 alpha[o[first], e] = np.add.reduceat(alpha[o, start[s]] * prob[piece[s]], first, axis=0)
         return alpha
 
-    def expected(self, prob: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece, one language: prob[piece], weight[word]."""
+    def expected(self, prob: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected uses of each piece, one language: prob[piece], weight[word]; and the words whose sums leave the range."""
         own, start, end, piece = self.arcs
         alpha = self.forward(prob[:, None])[:, :, 0]
         total = alpha[np.arange(len(self.size)), self.size]
@@ -107,28 +133,63 @@ class Lattice:
                 o = own[at]
                 first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
                 beta[o[first], start[at[0]]] += np.add.reduceat(beta[o, end[at]] * prob[piece[at]], first)
-        share = np.divide(weight, total, out=np.zeros(len(total)), where=total > 0)
+        fine = (total > LEAST) & (alpha.max(axis=1) < MOST) & (beta.max(axis=1) < MOST)
+        share = np.divide(weight, total, out=np.zeros(len(total)), where=fine)
         use = alpha[own, start] * prob[piece] * beta[own, end] * share[own]
-        return np.bincount(piece, use, len(prob))
+        return np.bincount(piece[fine[own]], use[fine[own]], len(prob)), np.flatnonzero(~fine)
+
+
+def batches_of(texts: list[bytes], langs: int) -> list[list[int]]:
+    """Places of the words of at most LONG_WORD bytes, shortest first, in batches of about CELLS cells."""
+    out: list[list[int]] = []
+    held = 0
+    for k in sorted((k for k in range(len(texts)) if len(texts[k]) <= LONG_WORD), key=lambda k: len(texts[k])):
+        cells = (len(texts[k]) + 1) * (langs + 4)
+        if not out or held + cells > CELLS:
+            out.append([])
+            held = 0
+        out[-1].append(k)
+        held += cells
+    return out
 
 
-def scaled_forward(word: bytes, vocabulary: dict[bytes, int], prob: np.ndarray) -> np.ndarray:
-    """Log likelihood of one word of any length, by language; values are kept in range by logarithms."""
-    n = len(word)
-    log = np.full((n + 1, prob.shape[1]), -np.inf)
+def log_forward(size: int, found: list[tuple[int, int, int]], log_prob: np.ndarray) -> np.ndarray:
+    """log alpha[place, language] of one word of any length, from its arcs and log_prob[piece, language]."""
+    log = np.full((size + 1, log_prob.shape[1]), -np.inf)
     log[0] = 0.0
-    for e in range(1, n + 1):
-        rows = [log[i] + np.log(prob[p]) for i in range(max(0, e - MAX_PIECE), e) if (p := vocabulary.get(word[i:e], -1)) >= 0]
-        if rows:
-            log[e] = np.logaddexp.reduce(rows, axis=0)
-    return log[n]
+    into: dict[int, list[tuple[int, int]]] = {}
+    for i, j, p in found:
+        into.setdefault(j, []).append((i, p))
+    for e in sorted(into):
+        i, p = zip(*into[e])
+        log[e] = np.logaddexp.reduce(log[list(i)] + log_prob[list(p)], axis=0)
+    return log
+
+
+def log_expected(size: int, found: list[tuple[int, int, int]], log_prob: np.ndarray, pieces: int) -> np.ndarray:
+    """Expected uses of each piece in one word of any length, one language."""
+    alpha = log_forward(size, found, log_prob[:, None])[:, 0]
+    turned = [(size - j, size - i, p) for i, j, p in found]
+    beta = log_forward(size, turned, log_prob[:, None])[::-1, 0]
+    i, j, p = (np.array(x) for x in zip(*found))
+    return np.bincount(p, np.exp(alpha[i] + log_prob[p] + beta[j] - alpha[size]), pieces)
 
 
 class Scorer:
-    """Log likelihoods of words by language, with a bounded cache."""
+    """Log likelihoods of words by language, with a bounded cache that later tasks of the same worker find again."""
+
+    _held: tuple[object, Scorer] | None = None
+
+    @classmethod
+    def held(cls, key: object, vocabulary_path: str, shared) -> Scorer:
+        if cls._held is None or cls._held[0] != key:
+            cls._held = (key, cls(load_pieces(vocabulary_path), shared.value.astype(float)))
+        return cls._held[1]
 
     def __init__(self, vocabulary: dict[bytes, int], prob: np.ndarray):
         self.vocabulary, self.prob = vocabulary, prob
+        self.scaled = prob * np.exp(BYTE * np.minimum(lengths(vocabulary), LONG_WORD))[:, None]
+        self.log_prob = np.log(prob)
         self.known: dict[str, int] = {}
         self.rows = np.zeros((0, prob.shape[1]))
 
@@ -158,131 +219,168 @@ class Scorer:
 
     def learn(self, new: list[str]) -> None:
         texts = [b" " + w.encode() for w in new]
-        out = np.zeros((len(new), self.prob.shape[1]))
-        order = sorted((k for k in range(len(new)) if len(texts[k]) <= LONG_WORD), key=lambda k: len(texts[k]))
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
+        out = np.full((len(new), self.prob.shape[1]), np.nan)
+        for part in batches_of(texts, self.prob.shape[1]):
             lattice = Lattice([texts[k] for k in part], self.vocabulary)
-            alpha = lattice.forward(self.prob)
-            out[part] = np.log(np.maximum(alpha[np.arange(len(part)), lattice.size], 1e-300))
-        for k in range(len(new)):
-            if len(texts[k]) > LONG_WORD:
-                out[k] = scaled_forward(texts[k], self.vocabulary, self.prob)
+            alpha = lattice.forward(self.scaled)
+            total = alpha[np.arange(len(part)), lattice.size]
+            fine = (total.min(axis=1) > LEAST) & (alpha.max(axis=(1, 2)) < MOST)
+            at = np.array(part)[fine]
+            out[at] = np.log(total[fine]) - BYTE * lattice.size[fine, None]
+        for k in np.flatnonzero(np.isnan(out[:, 0])).tolist():
+            out[k] = log_forward(len(texts[k]), arcs(texts[k], self.vocabulary), self.log_prob)[-1]
         base = len(self.rows)
         self.rows = np.concatenate([self.rows, out])
         self.known.update(zip(new, range(base, base + len(new))))
 
 
-def fit(counts: dict[str, Counter], vocabulary: dict[bytes, int], rounds: int = EM_ROUNDS, smoothing: float = SMOOTHING):
-    """(languages, prob[piece, language]) from word counts of each language.
+def fit(counts: Counter, vocabulary: dict[bytes, int], rounds: int = EM_ROUNDS, smoothing: float = SMOOTHING) -> np.ndarray:
+    """prob[piece] of one language from the counts of its words.
 
     ``smoothing`` is added to each piece's expected uses; a single byte always keeps some probability, so
     every word has a segmentation.
     """
-    langs = sorted(counts)
-    prob = np.zeros((count_pieces(vocabulary), len(langs)))
-    for k, lang in enumerate(langs):
-        top = sorted(counts[lang].items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS]
-        top = [(w, n) for w, n in top if len(w.encode()) < LONG_WORD] or [("a", 1)]
-        lattice = Lattice([b" " + w.encode() for w, _ in top], vocabulary)
-        weight = np.array([n for _, n in top], float)
-        p = np.bincount(lattice.arcs[3], weight[lattice.arcs[0]], len(prob)) + smoothing
-        p /= p.sum()
-        for _ in range(rounds):
-            p = lattice.expected(p, weight) + smoothing
-            p /= p.sum()
-        prob[:, k] = p
-    return langs, prob
-
-
-def sample_counts(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict[str, Counter]:
-    """Word counts of at most ``per_lang`` documents of each language, drawn by a hash of the id outside fold 2."""
-    first = ["lang", F.pmod("h", F.lit(64))]  # a language with a third of all rows is ranked in parts, then what is left of them
-    order = ["h", "id"]
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2))
-    drawn = (
-        known.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"))
-        .withColumn("h", F.xxhash64("id"))
-        .withColumn("r", F.row_number().over(Window.partitionBy(*first).orderBy(*order)))
-        .where(F.col("r") <= per_lang)
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
-        .where(F.col("r") <= per_lang)
-        .select("id", "lang")
-        .distinct()
-        .limit(per_lang * MAX_LANGS)
+    size = lengths(vocabulary)
+    factor = np.exp(BYTE * np.minimum(size, LONG_WORD))
+    names = sorted(counts) or ["a"]
+    texts = [b" " + w.encode() for w in names]
+    weight = np.array([counts[w] or 1 for w in names], float)
+    parts = [(np.array(part), Lattice([texts[k] for k in part], vocabulary)) for part in batches_of(texts, 1)]
+    long = [k for k, w in enumerate(texts) if len(w) > LONG_WORD]
+    p = np.full(len(size), smoothing)
+    for at, lattice in parts:
+        p += np.bincount(lattice.arcs[3], weight[at][lattice.arcs[0]], len(size))
+    for k in long:
+        p += weight[k] * np.bincount([x[2] for x in arcs(texts[k], vocabulary)], minlength=len(size))
+    p /= p.sum()
+    for _ in range(rounds):
+        use, rest = np.full(len(size), smoothing), list(long)
+        for at, lattice in parts:
+            got, out = lattice.expected(p * factor, weight[at])
+            use += got
+            rest += at[out].tolist()
+        for k in rest:
+            use += weight[k] * log_expected(len(texts[k]), arcs(texts[k], vocabulary), np.log(p), len(size))
+        p = use / use.sum()
+    return p
+
+
+def sample(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> DataFrame:
+    """(lang, text) of at most ``per_lang`` documents of each language outside fold 2: those with the smallest hashes of their ids.
+
+    Of more than ``max_langs`` languages those of most documents are taken. A hash limit by each language's count
+    leaves a few times ``per_lang`` rows to be ranked, however many there are.
+    """
+    lang = F.col("lang").cast("string")
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select(
+        F.col("doc_id").alias("id"), lang.alias("lang"), F.col("text").cast("string").alias("text")
     )
-    texts = known.select("doc_id", "text", F.col("lang").cast("string").alias("l"))
-    chosen = texts.join(F.broadcast(drawn), (F.col("doc_id") == F.col("id")) & (F.col("l") == F.col("lang"))).select("lang", "text")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    unit = (F.xxhash64("id").bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
+    few = known.drop("text").join(F.broadcast(counts), "lang").where(unit * F.col("n") <= 2.0 * per_lang + 200)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(unit, "id"))
+    ids = few.withColumn("r", rank).where(F.col("r") <= per_lang).select(F.col("id").alias("own"), F.col("lang").alias("of")).distinct()
+    # at most per_lang * max_langs rows
+    return known.join(F.broadcast(ids), (F.col("id") == F.col("own")) & (F.col("lang") == F.col("of"))).select("lang", "text")
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, word, n) from (lang, text)."""
 
     def run(batches):
         total: dict[str, Counter] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 total.setdefault(lang, Counter()).update(words(text))
-        rows = [(k, w, n) for k, c in total.items() for w, n in c.items()]
+        rows = [(k, w, n) for k, c in total.items() for w, n in (c or {"": 0}).items()]
         for i in range(0, len(rows), 20_000):
             k, w, n = zip(*rows[i : i + 20_000])
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(w), pa.array(n, pa.int64())], ["lang", "word", "n"])
 
-    counted = chosen.mapInArrow(tidy(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= MAX_WORDS)
-    out: dict[str, Counter] = {}
-    for r in top.select("lang", "word", "n").toLocalIterator():
-        out.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
-    return out
+    return texts.mapInArrow(tidy(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def detect(docs: DataFrame, model, vocabulary_path: str) -> DataFrame:
-    """(doc_id, lang_pred, score) for each row of ``docs`` under ``model = (languages, prob)``.
+def _fit_each(vocabulary_path: str):
+    """Rows (lang, word, n) sorted by lang: the probabilities of each language."""
 
-    score is the posterior of the language told, under equal priors. Texts that are null or have no letter
-    are ``und`` with score 0, and so is every text if no language was learned. Ties go to the first language
-    by name. Other columns are not read.
-    """
+    def run(batches):
+        vocabulary: dict[bytes, int] = {}
+        at, counts = None, Counter()
+
+        def done():
+            vocabulary.update(vocabulary or load_pieces(vocabulary_path))
+            p = fit(counts, vocabulary).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([p.tobytes()], pa.binary())], ["lang", "prob"])
+
+        for b in batches:
+            for lang, word, n in zip(*(c.to_pylist() for c in b.columns)):
+                if lang != at:
+                    if at is not None:
+                        yield done()
+                    at, counts = lang, Counter()
+                if word:
+                    counts[word] = n
+        if at is not None:
+            yield done()
+
+    return run
+
+
+def train(docs: DataFrame, vocabulary_path: str, per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS):
+    """(languages, prob[piece, language]) fitted on a bounded sample of labelled documents, each language in a task."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    langs, prob = model
-    shared = spark.sparkContext.broadcast(prob.astype(np.float32))  # pieces x languages: bounded by vocabulary and MAX_LANGS
+    dealt = word_counts(sample(docs, per_lang, max_langs)).repartition(shuffle_parts(spark), "lang").sortWithinPartitions("lang", "word")
+    found = dealt.mapInArrow(tidy(_fit_each(vocabulary_path)), "lang string, prob binary").collect()  # at most max_langs rows
+    found.sort(key=lambda r: r["lang"])
+    return [r["lang"] for r in found], np.array([np.frombuffer(bytes(r["prob"]), np.float32) for r in found]).T
 
-    def run(batches):
-        scorer = Scorer(load_pieces(vocabulary_path), shared.value.astype(float)) if langs else None
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            if scorer is None:
-                pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            else:
-                ll = scorer.texts(texts)
-                none = np.isnan(ll[:, 0])
-                ll[none] = 0.0
-                best = ll.argmax(axis=1)
-                score = 1.0 / np.exp(np.minimum(ll - ll.max(axis=1, keepdims=True), 0)).sum(axis=1)
-                score[none] = 0.0
-                pred = ["und" if x else langs[k] for x, k in zip(none.tolist(), best.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
+def posterior(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether a text has letters, its best language, that language's posterior under equal priors) from log likelihoods."""
+    known = ~np.isnan(ll[:, 0])
+    ll = np.where(known[:, None], ll, 0.0)
+    score = 1.0 / np.exp(np.minimum(ll - ll.max(axis=1, keepdims=True), 0)).sum(axis=1)
+    return known, ll.argmax(axis=1), np.where(known, score, 0.0)
 
-def keep_known(docs: DataFrame, model, vocabulary_path: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of ``least`` or more; rows without letters go."""
+
+def _scored(docs: DataFrame, model, vocabulary_path: str, at: int, make, schema) -> DataFrame:
+    """``make(batch, known, best, score)`` over the texts in column ``at``; without languages nothing is known."""
     spark = docs.sparkSession
     bounded_batches(spark)
     langs, prob = model
-    shared = spark.sparkContext.broadcast(prob.astype(np.float32))
-    at = docs.columns.index("text")
+    shared, key = spark.sparkContext.broadcast(prob), uuid.uuid4().hex  # vocabulary x MAX_LANGS floats at most
 
     def run(batches):
-        scorer = Scorer(load_pieces(vocabulary_path), shared.value.astype(float)) if langs else None
+        scorer = Scorer.held(key, vocabulary_path, shared) if langs else None
         for b in batches:
-            if scorer is None:
-                continue
-            ll = scorer.texts(b.column(at).to_pylist())
-            known = ~np.isnan(ll[:, 0])
-            ll[~known] = 0.0
-            score = 1.0 / np.exp(np.minimum(ll - ll.max(axis=1, keepdims=True), 0)).sum(axis=1)
-            yield b.filter(pa.array(known & (score >= least)))
+            texts = b.column(at).to_pylist()
+            found = posterior(scorer.texts(texts)) if scorer else (np.zeros(len(texts), bool), np.zeros(len(texts), int), np.zeros(len(texts)))
+            yield make(b, *found)
+
+    return docs.mapInArrow(tidy(run), schema)
+
+
+def detect(docs: DataFrame, model, vocabulary_path: str) -> DataFrame:
+    """(doc_id, lang_pred, score) for each row of ``docs`` under ``model = (languages, prob)``.
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    score is the posterior of the language told, under equal priors. Texts that are null or have no letter
+    are ``und`` with score 0, and so is every text if no language was learned. Ties go to the first language
+    by name. Other columns are not read.
+    """
+    langs = model[0]
+
+    def make(b, known, best, score):
+        pred = [langs[k] if x else "und" for x, k in zip(known.tolist(), best.tolist())]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return _scored(own, model, vocabulary_path, 1, make, "doc_id long, lang_pred string, score double")
+
+
+def keep_known(docs: DataFrame, model, vocabulary_path: str, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a score of ``least`` or more; rows without letters go."""
+    return _scored(docs, model, vocabulary_path, docs.columns.index("text"), lambda b, known, _, score: b.filter(pa.array(known & (score >= least))), docs.schema)
 
 
 def public_vocabulary() -> str:
@@ -291,11 +389,6 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def train(docs: DataFrame, vocabulary_path: str):
-    bounded_batches(docs.sparkSession)
-    return fit(sample_counts(docs), load_pieces(vocabulary_path))
-
-
 def op8_langid(spark, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_vocabulary()
     out = detect(docs, train(docs, path), path)
