@@ -6,6 +6,11 @@ does not, the template rewrites history and is reported so. Within a span, the t
 located by rendering the same turn with two probe texts: what their spans share before and
 after is the template's. Only the text of assistant turns is under the loss mask.
 
+For any function the prefixes are those of the whole conversation, whatever its length: one conversation is in memory,
+and the work grows with the square of its turns. A template may say that what it writes for a turn depends on so many turns
+before it at most (``Local``): then prefixes begin that many turns back and a conversation streams through. The
+statement is tested at every turn by a prefix that begins one turn earlier. The default template is such a one.
+
 The default template marks turns with control strings and escapes such strings inside texts reversibly, so
 turns can be read back from the output alone.
 """
@@ -26,8 +31,6 @@ Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 OPEN, SEP, CLOSE = "<|turn|>", "<|says|>", "<|end|>"
 ESCAPE = "\\"
-#: Characters of one rendered stretch; a longer conversation goes on in a new stretch.
-STRETCH = 1 << 16
 PROBES = ("A", "B")
 
 
@@ -47,11 +50,25 @@ def unescape(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-def render(turns: list[Turn]) -> str:
-    """The default template: no turn's output depends on its neighbours."""
+@dataclass(frozen=True)
+class Local:
+    """A template that writes a turn by that turn and at most ``memory`` turns before it, whatever else came earlier."""
+
+    template: Template
+    memory: int = 0
+
+    def __call__(self, turns: list[Turn]) -> str:
+        return self.template(turns)
+
+
+def concatenate(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}{SEP}{escape(text)}{CLOSE}\n" for role, text in turns)
 
 
+#: The default template: no turn's output depends on its neighbours.
+render = Local(concatenate)
+
+
 def read_back(formatted: str) -> list[Turn]:
     """The turns of an output of ``render``."""
     out, at = [], 0
@@ -86,6 +103,21 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
+def _span(template: Template, head: list[Turn], before: str, turn: Turn) -> tuple[str, int, int]:
+    """The text that ``turn`` adds to ``before = template(head)``, and where its own text begins and ends there."""
+    role, _ = turn
+    now = template([*head, turn])
+    if not now.startswith(before):
+        raise RewritesHistory("a turn changes what stands before it")
+    one, two = (template([*head, (role, p)])[len(before) :] for p in PROBES)
+    lead = _common(one, two)
+    tail = len(one) - lead - len(PROBES[0])
+    span = now[len(before) :]
+    if len(one) != len(two) or span[:lead] != one[:lead] or span[len(span) - tail :] != one[len(one) - tail :]:
+        raise RewritesHistory("a turn is not rendered alike for all texts")
+    return span, lead, len(span) - tail
+
+
 def locate(template: Template, turns: list[Turn]) -> tuple[str, list[Span]]:
     """Render successive prefixes and compare neighbours: the whole output and the span of each turn.
 
@@ -94,26 +126,17 @@ def locate(template: Template, turns: list[Turn]) -> tuple[str, list[Span]]:
     """
     spans: list[Span] = []
     before = template([])
-    for i, (role, text) in enumerate(turns):
-        head = turns[:i]
-        now = template([*head, (role, text)])
-        if not now.startswith(before):
-            raise RewritesHistory(f"turn {i} changes what stands before it")
-        one, two = (template([*head, (role, p)])[len(before) :] for p in PROBES)
-        lead = _common(one, two)
-        tail = len(one) - lead - len(PROBES[0])
-        span = now[len(before) :]
-        if len(one) != len(two) or span[:lead] != one[:lead] or span[len(span) - tail :] != one[len(one) - tail :]:
-            raise RewritesHistory(f"turn {i} is not rendered alike for all texts")
+    for i, turn in enumerate(turns):
+        span, first, last = _span(template, turns[:i], before, turn)
         at = len(before)
-        spans.append(Span(at, len(now), at + lead, len(now) - tail))
-        before = now
+        spans.append(Span(at, at + len(span), at + first, at + last))
+        before += span
     return before, spans
 
 
 @dataclass
 class _State:
-    """What is known of the conversation at hand; hashes grow turn by turn, so its length does not matter."""
+    """What is known of the conversation at hand; hashes grow turn by turn."""
 
     conv_id: int | None
     n: int = 0
@@ -122,49 +145,77 @@ class _State:
     rewrites: bool = False
 
     def __post_init__(self):
-        self.turns, self.loss, self.pending, self.size = hashlib.sha256(), hashlib.sha256(), [], 0
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.window: list[Turn] = []
+
+    def read(self, turns: Iterable[Turn], said: Iterable[str | None]) -> None:
+        """Turns read back from the output, each with its text under the loss mask."""
+        for (role, text), own in zip(turns, said, strict=True):
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            if own is not None and role == "assistant":
+                self.loss.update(own.encode())
+                self.loss_chars += len(own)
+
+
+def _stream(state: _State, template: Local, turn: Turn, unrender, unmask) -> None:
+    """Render one more turn after the last ones, and take what is told from its span."""
+    if not state.n:
+        state.chars = len(template([]))
+    head = state.window
+    before = template(head)
+    try:
+        span, first, last = _span(template, head, before, turn)
+        if len(head) > template.memory:  # the same turn after one turn less
+            near = head[1:]
+            if template([*near, turn])[len(template(near)) :] != span:
+                raise ValueError(f"the template remembers more than the {template.memory} turns that it states")
+        said = unmask(span[first:last])
+    except RewritesHistory:
+        state.rewrites, span, said = True, template([*head, turn])[len(before) :], None
+    state.chars += len(span)
+    state.read(unrender(span), [said])
+    state.window = [*head, turn][-(template.memory + 1) :]
 
 
-def _flush(state: _State, template: Template, unrender, unmask) -> None:
-    """Render the pending stretch, and take everything told from its output."""
-    if not state.pending:
-        return
+def _whole(state: _State, template: Template, unrender, unmask) -> None:
+    """Render the conversation by all its prefixes, and take everything told from its output."""
+    turns = state.window
     try:
-        out, spans = locate(template, state.pending)
+        out, spans = locate(template, turns)
+        said = [unmask(out[x.text_start : x.text_end]) for x in spans]
     except RewritesHistory:
-        state.rewrites = True
-        out, spans = template(state.pending), []
-    state.chars += len(out)
-    for (role, text), span in zip(unrender(out), spans or [None] * len(state.pending)):
-        state.turns.update(f"{role}\n{text}\n".encode())
-        if span is not None and role == "assistant":
-            said = unmask(out[span.text_start : span.text_end])
-            state.loss.update(said.encode())
-            state.loss_chars += len(said)
-    state.n += len(state.pending)
-    state.pending, state.size = [], 0
+        state.rewrites, out, said = True, template(turns), [None] * len(turns)
+    state.chars = len(out)
+    state.read(unrender(out), said)
 
 
 def formatted(rows: Iterable[tuple], template: Template = render, unrender=read_back, unmask=unescape) -> Iterator[_State]:
     """Rows (conv_id, role, text) in order of turns, conversations together: one state per conversation.
 
-    A conversation is rendered in stretches of about STRETCH characters, each by successive prefixes; the
-    default template renders every turn by itself, so stretches join to the rendering of the whole.
+    ``unrender`` reads turns from an output; of a ``Local`` template it is given the span of one turn.
     """
+
+    def done(state: _State) -> _State:
+        if not isinstance(template, Local):
+            _whole(state, template, unrender, unmask)
+        if state.rewrites:
+            state.loss, state.loss_chars = hashlib.sha256(), 0
+        return state
+
     state = None
     for conv_id, role, text in rows:
         if state is None or conv_id != state.conv_id:
             if state is not None:
-                _flush(state, template, unrender, unmask)
-                yield state
+                yield done(state)
             state = _State(conv_id)
-        state.pending.append((role or "", text or ""))
-        state.size += len(text or "") + 32
-        if state.size * len(state.pending) > 16 * STRETCH:
-            _flush(state, template, unrender, unmask)
+        turn = (role or "", text or "")
+        if isinstance(template, Local):
+            _stream(state, template, turn, unrender, unmask)
+        else:
+            state.window.append(turn)
     if state is not None:
-        _flush(state, template, unrender, unmask)
-        yield state
+        yield done(state)
 
 
 _SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
@@ -176,7 +227,7 @@ def format_conversations(conversations: DataFrame, template: Template = render,
     Turns are ordered by turn, then role and text (nulls first), so repeated rows are repeated turns; a null
     role or text counts as empty, and rows with a null conv_id are one conversation. A conversation
     of a template that rewrites history is marked and has no loss. An empty table gives no row.
-    Other columns are not read. Conversations are streamed from sorted partitions, a stretch at a time.
+    Other columns are not read. Conversations are streamed from sorted partitions, with a ``Local`` template turn by turn.
     """
     spark = conversations.sparkSession
     bounded_batches(spark)

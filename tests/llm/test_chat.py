@@ -47,3 +47,35 @@ def test_conversations(spark):
     out = C.texts(df.where("conv_id = 1")).first()
     s = out.spans[1]
     assert C.unescape(out.formatted[s.text_start : s.text_end]) == rows[0][3]
+
+
+def states(turns, template, unrender=C.read_back):
+    return next(iter(C.formatted([(7, *t) for t in turns], template, unrender)))
+
+
+def test_long_conversations_are_rendered_as_a_whole():
+    turns = [("assistant" if i % 2 else "user", f"turn {i} " + "x" * 900) for i in range(300)]
+
+    def forgets(shown):  # drops the reasoning of turns far back: seen only across the whole conversation
+        return "".join(C.concatenate([(r, t[:9] if len(shown) - i > 200 else t)]) for i, (r, t) in enumerate(shown))
+
+    assert states(turns, forgets).rewrites and states(turns, forgets).loss_chars == 0
+    assert not states(turns[:150], forgets).rewrites
+    opened = lambda shown: "<s>" + C.concatenate(shown)
+    one = states(turns, opened, lambda s: C.read_back(s[3:]))
+    near = states(turns, C.Local(opened), lambda s: C.read_back(s))
+    plain, local = states(turns, C.concatenate), states(turns, C.render)
+    assert one.chars == near.chars == plain.chars + 3 and plain.chars == local.chars == len(C.concatenate(turns))
+    assert len({(x.n, x.turns.hexdigest(), x.loss.hexdigest(), x.loss_chars) for x in (one, near, plain, local)}) == 1
+
+
+def test_a_template_that_remembers_more_than_it_states():
+    def marks_change(shown):
+        return "".join(("~" if i and shown[i - 1][0] == r else "") + C.concatenate([(r, t)]) for i, (r, t) in enumerate(shown))
+
+    turns = [("user", "a"), ("user", "b"), ("assistant", "c")]
+    read = lambda s: C.read_back(s.lstrip("~"))
+    with pytest.raises(ValueError, match="remembers more"):
+        states(turns, C.Local(marks_change), read)
+    held = states(turns, C.Local(marks_change, 1), read)
+    assert held.chars == len(marks_change(turns)) and held.loss_chars == 1 and not held.rewrites
