@@ -1,5 +1,7 @@
 """Point, trajectory and cluster views over the driver's tables, defined once for Spark and for SQL.
 
+Points are of three scans and of one without a name, over the same ground.
+
 ``{D}`` marks double literals, whose spelling differs. Fractions are dyadic, so that sums are exact.
 """
 
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 POINTS = {
-    "scan_id": "'scan0'",
+    "scan_id": "CASE WHEN event_id % 4 < 3 THEN 'scan' || CAST(event_id % 4 AS STRING) END",
     "point_id": "event_id",
     "user_id": "user_id",
     "x": "100000 + ((event_id * 37) % 397) / 4.0{D}",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import AttributeConfig
 from ..functions.scalar import clamp
 from ..schema import RGB, has, require
+from .groups import attach
 
 
 def compensate_range(distance: Column, intensity: Column, reference: float = 50.0) -> Column:
@@ -26,7 +27,7 @@ def normalise_rgb(points: DataFrame, config: AttributeConfig | None = None) -> D
     means = out.groupBy("scan_id").agg(*[F.avg(c).alias(f"_{c}") for c in RGB])
     grey = (F.col("_r") + F.col("_g") + F.col("_b")) / 3
     usable = (F.col("_r") > 0) & (F.col("_g") > 0) & (F.col("_b") > 0)
-    joined = out.join(means, "scan_id")
+    joined = attach(out, means, ["scan_id"])
     return joined.withColumns(
         {c: F.when(usable, clip(F.col(c) * (grey / F.nullif(F.col(f"_{c}"), F.lit(0.0))))).otherwise(F.col(c)) for c in RGB}
     ).drop("_r", "_g", "_b")
@@ -63,7 +64,7 @@ def normalise(points: DataFrame, config: AttributeConfig | None = None) -> DataF
     if has(points, *RGB):
         out = normalise_rgb(out, config)
     mean = out.groupBy("scan_id").agg(F.avg("z").alias("_z"))
-    return out.join(mean, "scan_id").withColumn("roughness", F.abs(F.col("z") - F.col("_z"))).drop("_z")
+    return attach(out, mean, ["scan_id"]).withColumn("roughness", F.abs(F.col("z") - F.col("_z"))).drop("_z")
 
 
 def preclassify(points: DataFrame, clusters: int = 3, seeds: tuple[int, ...] = (0, 1, 2, 3, 4), max_iter: int = 30) -> DataFrame:

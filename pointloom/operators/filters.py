@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import at_least, at_most
 from ..functions.windows import CHUNK, median_of, over_neighbours
 from ..schema import require
+from .groups import attach
 
 
 def filter_range(points: DataFrame, max_range: float) -> DataFrame:
@@ -31,11 +32,12 @@ def spike_filter_z(points: DataFrame, kernel: int = 5, threshold: float = 1.0, b
 def uniformize_density(points: DataFrame, target: float = 100.0, seed: int = 0) -> DataFrame:
     """Thin to about ``target`` points a square metre of the scan's box.
 
-    Which points stay depends on a hash of their ids and the seed, so reruns agree.
+    Which points stay depends on 52 bits of the md5 of seed and id, so reruns agree.
     """
     box = points.groupBy("scan_id").agg(
         F.count("*").alias("_n"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).alias("_area")
     )
     keep = F.when(F.col("_area") > 0, F.least(F.lit(1.0), F.lit(float(target)) * F.col("_area") / F.col("_n"))).otherwise(1.0)
-    draw = (F.xxhash64(F.lit(seed), "point_id").bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-    return points.join(box, "scan_id").where(draw < keep).drop("_n", "_area")
+    bits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("point_id").cast("string")).cast("binary")), 1, 13)
+    draw = F.conv(bits, 16, 10).cast("double") / float(1 << 52)
+    return attach(points, box, ["scan_id"]).where(draw < keep).drop("_n", "_area")

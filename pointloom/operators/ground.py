@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GroundConfig
+from .groups import attach, same
 
 
 def _quantile(column: str, q: float, accuracy: int | None):
@@ -18,7 +19,7 @@ def normalise_simple(points: DataFrame, quantile: float = 0.05, accuracy: int |
     The exact quantile holds the distinct heights of a scan in memory; ``accuracy`` takes a sketch instead.
     """
     ground = points.groupBy("scan_id").agg(_quantile("z", quantile, accuracy).alias("_g"))
-    return points.join(ground, "scan_id").withColumn("z", F.col("z") - F.col("_g")).drop("_g")
+    return attach(points, ground, ["scan_id"]).withColumn("z", F.col("z") - F.col("_g")).drop("_g")
 
 
 def local_ground(points: DataFrame, config: GroundConfig | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def local_ground(points: DataFrame, config: GroundConfig | None = None) -> DataF
 
 def _cells(points: DataFrame, config: GroundConfig) -> DataFrame:
     corner = points.groupBy("scan_id").agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
-    return points.join(corner, "scan_id").select(
+    return attach(points, corner, ["scan_id"]).select(
         *points.columns,
         F.floor((F.col("x") - F.col("_x0")) / config.grid).alias("cell_i"),
         F.floor((F.col("y") - F.col("_y0")) / config.grid).alias("cell_j"),
@@ -46,7 +47,8 @@ def normalise_local(points: DataFrame, config: GroundConfig | None = None, stric
         raise ValueError("no points")
     celled = _cells(points.drop("is_ground", "z_abs"), config)
     ground = celled.groupBy("scan_id", "cell_i", "cell_j").agg(F.percentile("z", F.lit(config.quantile)).alias("_g"))
-    joined = celled.join(ground, ["scan_id", "cell_i", "cell_j"])
+    keys = {c: f"_of_{c}" for c in ("scan_id", "cell_i", "cell_j")}
+    joined = celled.join(ground.withColumnsRenamed(keys), same([(F.col(c), F.col(k)) for c, k in keys.items()])).drop(*keys.values())
     height = F.col("z") - F.col("_g")
     return (
         joined.withColumn("is_ground", F.abs(height) <= config.threshold)

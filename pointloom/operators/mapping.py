@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .groups import same
 
-def backproject(mapping: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(point_id, ord): points of the pixels(ord, row, col) in the order they are first met; ord is that of the pixel.
 
-    Pixels without points are passed over; order by (ord, point_id).
+def backproject(mapping: DataFrame, pixels: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
+    """(point_id, ord): points of the pixels(ord, *keys) in the order they are first met; ord is that of the pixel.
+
+    Pixels without points are passed over; order by (ord, point_id). A null key equals a null key.
     """
-    hit = pixels.join(mapping, ["row", "col"])
+    asked = pixels.select("ord", *[F.col(c).alias(f"_of_{c}") for c in keys])
+    hit = mapping.join(asked, same([(F.col(c), F.col(f"_of_{c}")) for c in keys]))
     return hit.groupBy("point_id").agg(F.min("ord").alias("ord"))
 
 

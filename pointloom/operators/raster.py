@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import index
 from ..schema import RGB, has
+from .groups import attach
 
 
 def pixels(points: DataFrame, resolution: float = 0.1, by: Sequence[str] = ("scan_id",)) -> DataFrame:
     """Add row, col of each point, counted from the corner of its group; rows grow to the north."""
     by = list(by)
     corner = points.groupBy(*by).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
-    joined = points.join(corner, by)
+    joined = attach(points, corner, by)
     return joined.withColumns(
         {"row": index((F.col("y") - F.col("_y0")) / resolution), "col": index((F.col("x") - F.col("_x0")) / resolution)}
     ).drop("_x0", "_y0")
@@ -44,7 +45,7 @@ def image_pixels(points: DataFrame, resolution: float = 0.05, tile: float = 100.
     """
     box = points.groupBy("scan_id").agg(*[f(c).alias(f"_{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))])
     g = -int(-tile // resolution) if abs(tile / resolution - round(tile / resolution)) > 1e-9 else round(tile / resolution)
-    joined = points.join(box, "scan_id")
+    joined = attach(points, box, ["scan_id"])
     tx, ty = (F.floor((F.col(c) - F.col(f"_{c}0")) / tile) for c in "xy")
     nx, ny = (F.greatest(F.ceil((F.col(f"_{c}1") - F.col(f"_{c}0")) / tile), F.lit(1)) for c in "xy")
     placed = joined.withColumns({"tile_ix": tx, "tile_iy": ty, "_nx": nx, "_ny": ny}).where("tile_ix < _nx and tile_iy < _ny")
@@ -80,7 +81,7 @@ def display_stretch(raster: DataFrame) -> DataFrame:
     keys = ["scan_id", "tile_ix", "tile_iy"]
     names = ["intensity_mean", *(f"{c}_mean" for c in RGB)]
     top = raster.groupBy(*keys).agg(F.min("z_max").alias("_z0"), F.max("z_max").alias("_z1"), *[F.max(c).alias(f"_{c}") for c in names])
-    joined = raster.join(top, keys)
+    joined = attach(raster, top, keys)
     z = (F.col("z_max") - F.col("_z0")) / F.greatest(F.col("_z1") - F.col("_z0"), F.lit(1e-3))
     out = {"z_gray": (z * 255).cast("int")}
     for c in names:
@@ -93,7 +94,7 @@ def normalise_density(raster: DataFrame, keys: Sequence[str] = ("scan_id",), cha
     """A channel over its maximum in the image (or over 1)."""
     keys = list(keys)
     top = raster.groupBy(*keys).agg(F.max(channel).alias("_top"))
-    return raster.join(top, keys).withColumn(channel, F.col(channel) / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)).drop("_top")
+    return attach(raster, top, keys).withColumn(channel, F.col(channel) / F.when(F.col("_top") > 0, F.col("_top")).otherwise(1.0)).drop("_top")
 
 
 def dense(raster: DataFrame, channels: Sequence[str], keys: Sequence[str], height: int, width: int) -> DataFrame:

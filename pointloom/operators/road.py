@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import gradient
@@ -58,33 +58,63 @@ def profile_samples(alignment: DataFrame, step: float = 0.5) -> DataFrame:
     unit = length + 1e-12
     return at.select(
         "axis_id", "i", "s", (F.col("x0") + t * dx).alias("ax"), (F.col("y0") + t * dy).alias("ay"),
-        (-dy / unit).alias("nx"), (dx / unit).alias("ny"), (dx / unit).alias("tx"), (dy / unit).alias("ty"),
+        (-dy / unit).alias("nx"), (dx / unit).alias("ny"), (dx / unit).alias("tx"), (dy / unit).alias("ty"), "k",
     )
 
 
 def elevation_profiles(points: DataFrame, alignment: DataFrame, step: float = 0.5, strict: bool = False, reach: float = 50.0) -> DataFrame:
     """(axis_id, i, s, z_median) at every sample; null where the corridor is empty.
 
-    The default corridor has no bound along the axis, so every point is tested with every sample: samples are
-    few, and the condition is one broadcast or nested pass. ``strict`` takes only points within half a step
-    along the axis, by a band join on buckets of ``reach`` metres.
+    The default corridor has no bound along the axis. All samples of a segment share its line, so each segment's corridor is laid
+    over square cells of ``reach`` metres within the points' box, and points meet the segments of their cell. ``strict`` takes
+    only points within half a step along the axis, by a band join on buckets of ``reach`` metres.
     """
     samples = profile_samples(alignment, step)
     across = F.abs((F.col("x") - F.col("ax")) * F.col("nx") + (F.col("y") - F.col("ay")) * F.col("ny")) < CORRIDOR
     if strict:
         along = F.abs((F.col("x") - F.col("ax")) * F.col("tx") + (F.col("y") - F.col("ay")) * F.col("ty")) <= step / 2
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        dealt = samples.withColumn("_o", F.explode(around)).select(
+        dealt = samples.drop("k").withColumn("_o", F.explode(around)).select(
             "*", (F.floor(F.col("ax") / reach) + F.col("_o.i")).alias("_bx"), (F.floor(F.col("ay") / reach) + F.col("_o.j")).alias("_by")
         )
         keyed = points.select("x", "y", "z", F.floor(F.col("x") / reach).alias("_cx"), F.floor(F.col("y") / reach).alias("_cy"))
         hit = dealt.join(keyed, (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")) & across & along)
     else:
-        hit = samples.join(points.select("x", "y", "z"), across)
+        near = points.select("x", "y", "z", F.floor(F.col("x") / reach).alias("_cx"), F.floor(F.col("y") / reach).alias("_cy"))
+        met = near.join(corridor_cells(samples, points, reach), ["_cx", "_cy"]).drop("_cx", "_cy")
+        mine = samples.withColumnsRenamed({"axis_id": "_axis", "k": "_seg"})
+        hit = met.join(mine, F.col("axis_id").eqNullSafe(F.col("_axis")) & (F.col("k") == F.col("_seg")) & across).drop("_axis", "_seg")
     medians = hit.groupBy("axis_id", "i").agg(F.median("z").alias("z_median"))
     return samples.select("axis_id", "i", "s").join(medians, ["axis_id", "i"], "left")
 
 
+def corridor_cells(samples: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """(axis_id, k, _cx, _cy): the cells of ``reach`` metres in the points' box that the corridor of segment k touches.
+
+    A segment without length has no direction, and its corridor is everything.
+    """
+    box = points.agg(*[f(c).alias(f"_{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))]).where("_x0 is not null")
+    lines = samples.groupBy("axis_id", "k").agg(*[F.min_by(c, "i").alias(c) for c in ("ax", "ay", "nx", "ny")])
+    flat = F.abs("ny") >= F.abs("nx")  # closer to the x axis: walk along x, else along y
+
+    def turned(x: str, y: str) -> Column:
+        return F.when(flat, F.col(x)).otherwise(F.col(y))
+
+    cell = lambda c: F.floor(c / reach)
+    walk = lines.crossJoin(F.broadcast(box)).select(  # one row
+        "axis_id", "k", flat.alias("flat"), turned("ax", "ay").alias("u"), turned("ay", "ax").alias("v"),
+        F.try_divide(turned("nx", "ny"), turned("ny", "nx")).alias("fall"), F.try_divide(F.lit(CORRIDOR + 1e-3), F.abs(turned("ny", "nx"))).alias("half"),
+        turned("_x0", "_y0").alias("u0"), turned("_x1", "_y1").alias("u1"), turned("_y0", "_x0").alias("v0"), turned("_y1", "_x1").alias("v1"),
+    )
+    each = walk.withColumn("c", F.explode(F.sequence(cell(F.col("u0")), cell(F.col("u1")))))
+    ends = [F.col("v") - F.col("fall") * (end * reach - F.col("u")) for end in (F.col("c"), F.col("c") + 1)]
+    low = F.greatest(F.col("v0"), F.coalesce(F.least(*ends) - F.col("half"), F.col("v0")))
+    high = F.least(F.col("v1"), F.coalesce(F.greatest(*ends) + F.col("half"), F.col("v1")))
+    crossed = each.withColumns({"low": low, "high": high}).where("low <= high").withColumn("d", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))))
+    pick = lambda a, b: F.when(F.col("flat"), F.col(a)).otherwise(F.col(b))
+    return crossed.select("axis_id", "k", pick("c", "d").alias("_cx"), pick("d", "c").alias("_cy"))
+
+
 def cross_slope(points: DataFrame, bin_length: float = 10.0) -> DataFrame:
     """Slope of heights across the axis by bin of chainage, from points(s, d, z) (an extension)."""
     return points.groupBy(F.floor(F.col("s") / bin_length).alias("bin")).agg(F.regr_slope("z", "d").alias("slope"), F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..schema import RGB, has
+from .groups import attach
 from .metadata import box_columns, within
 
 
@@ -24,7 +25,7 @@ def assign(points: DataFrame, size: float = 20.0, origin: tuple[float, float] |
         extent = F.col(f"_{c}1") - F.col(f"_{c}0")
         return F.when(extent > 0, F.least(at, F.ceil(extent / size) - 1)).otherwise(at)
 
-    joined = points.join(box, "scan_id")
+    joined = attach(points, box, ["scan_id"])
     return joined.withColumn("tile_i", tile("x")).withColumn("tile_j", tile("y"))
 
 

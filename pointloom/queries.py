@@ -21,8 +21,8 @@ from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Tile densities of the point view lie about one point per square metre at the checked size.
-TILES = Config(qa=QAConfig(density=1.0))
+#: Tile densities of the point view lie about a quarter of a point per square metre and scan at the checked size.
+TILES = Config(qa=QAConfig(density=0.25))
 
 
 def query(sql: str | None = None):
@@ -37,12 +37,12 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6, **by_name: int) -> DataFrame:
-    """Doubles to so many decimals; negative zero becomes zero."""
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0, **by_name: int) -> DataFrame:
+    """Doubles to so many decimals; negative zero becomes zero. ``nudge`` is added first where values may lie half way between two."""
 
     def one(name: str, kind: str) -> Column:
         c = F.col(name)
-        return (F.round(c, by_name.get(name, digits)) + F.lit(0.0)).alias(name) if kind == "double" else c
+        return (F.round(c + F.lit(nudge), by_name.get(name, digits)) + F.lit(0.0)).alias(name) if kind == "double" else c
 
     return df.select(*[one(n, k) for n, k in df.dtypes])
 
@@ -51,12 +51,12 @@ def rounded(df: DataFrame, digits: int = 6, **by_name: int) -> DataFrame:
 
 
 @query(
-    """SELECT 'scan0' AS scan_id, min(x) >= -7000 AND max(x) <= 300000 AND min(y) >= 289000 AND max(y) <= 629000 AND min(z) >= -20 AND max(z) <= 400 AS crs_ok,
+    """SELECT scan_id, min(x) >= -7000 AND max(x) <= 300000 AND min(y) >= 289000 AND max(y) <= 629000 AND min(z) >= -20 AND max(z) <= 400 AS crs_ok,
     least(min(r), min(g), min(b)) >= 0 AND greatest(max(r), max(g), max(b)) <= 255 AS has_rgb, min(intensity) >= 0 AND max(intensity) > 0 AS has_intensity,
     count(*) AS point_count, min(x) AS x_min, min(y) AS y_min, min(z) AS z_min, max(x) AS x_max, max(y) AS y_max, max(z) AS z_max, 'unknown' AS provider,
     CASE WHEN min(x) >= -7000 AND max(x) <= 300000 AND min(y) >= 289000 AND max(y) <= 629000 AND min(z) >= -20 AND max(z) <= 400 THEN 28992 END AS crs_epsg,
     CAST(least(min(r), min(g), min(b)) AS INTEGER) AS rgb_low, CAST(greatest(max(r), max(g), max(b)) AS INTEGER) AS rgb_high,
-    min(intensity) AS i_low, max(intensity) AS i_high FROM p"""
+    min(intensity) AS i_low, max(intensity) AS i_high FROM p GROUP BY scan_id"""
 )
 def scan_metadata(spark, sf_dir):
     m = metadata.scan_metadata(A.points(spark, sf_dir))
@@ -67,7 +67,7 @@ def scan_metadata(spark, sf_dir):
     )
 
 
-@query("SELECT 'scan0' AS scan_id, false AS crs_ok, 4326 AS crs_epsg FROM (SELECT count(*) FROM p)")
+@query("SELECT scan_id, 4326 = 28992 AND min(x) >= -7000 AS crs_ok, 4326 AS crs_epsg FROM p GROUP BY scan_id")
 def crs_check(spark, sf_dir):
     return metadata.scan_metadata(A.points(spark, sf_dir), epsg=4326).select("scan_id", "crs_ok", "crs_epsg")
 
@@ -84,7 +84,7 @@ def filter_intensity(spark, sf_dir):
 
 SPIKES = """(SELECT * FROM (SELECT *, list_sort([coalesce(lag(z, 2) OVER w, first_value(z) OVER a), coalesce(lag(z, 1) OVER w, first_value(z) OVER a), z,
     coalesce(lead(z, 1) OVER w, last_value(z) OVER a), coalesce(lead(z, 2) OVER w, last_value(z) OVER a)])[3] AS med
-    FROM {src} WINDOW w AS (ORDER BY point_id), a AS (ORDER BY point_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) s WHERE abs(z - med) <= 1.0)"""
+    FROM {src} WINDOW w AS (PARTITION BY scan_id ORDER BY point_id), a AS (PARTITION BY scan_id ORDER BY point_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) s WHERE abs(z - med) <= 1.0)"""
 
 
 @query("SELECT point_id, z FROM " + SPIKES.format(src="p"))
@@ -92,22 +92,22 @@ def spike_filter(spark, sf_dir):
     return filters.spike_filter_z(A.points(spark, sf_dir), 5, 1.0).select("point_id", "z")
 
 
-@query()
+@query("""SELECT point_id FROM (SELECT *, count(*) OVER w AS n, (max(x) OVER w - min(x) OVER w) * (max(y) OVER w - min(y) OVER w) AS area FROM p WINDOW w AS (PARTITION BY scan_id)) t
+    WHERE CAST('0x' || substr(md5('0:' || CAST(point_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE < least(1.0::DOUBLE, 0.125::DOUBLE * area / n)""")
 def thin_density(spark, sf_dir):
-    return filters.uniformize_density(A.points(spark, sf_dir), 0.5).select("point_id")
+    return filters.uniformize_density(A.points(spark, sf_dir), 0.125).select("point_id")
 
 
 # --- ground and attributes --------------------------------------------------------------------------
 
 
-@query("SELECT point_id, round(z - (SELECT quantile_cont(z, 0.05) FROM p), 12) + 0.0::DOUBLE AS z FROM p")
+@query("SELECT point_id, round(z - quantile_cont(z, 0.05) OVER (PARTITION BY scan_id), 12) + 0.0::DOUBLE AS z FROM p")
 def ground_simple(spark, sf_dir):
     return rounded(ground.normalise_simple(A.points(spark, sf_dir)).select("point_id", "z"), 12)
 
 
-GROUND = """(SELECT p.*, z - zg AS h FROM (SELECT *, floor((x - (SELECT min(x) FROM {src})) / 2) AS gi, floor((y - (SELECT min(y) FROM {src})) / 2) AS gj FROM {src}) p
-    JOIN (SELECT floor((x - (SELECT min(x) FROM {src})) / 2) AS ci, floor((y - (SELECT min(y) FROM {src})) / 2) AS cj, quantile_cont(z, 0.05) AS zg FROM {src} GROUP BY 1, 2) q
-    ON p.gi = q.ci AND p.gj = q.cj)"""
+GROUND = """(SELECT *, z - zg AS h FROM (SELECT *, quantile_cont(z, 0.05) OVER (PARTITION BY scan_id, gi, gj) AS zg FROM
+    (SELECT *, floor((x - min(x) OVER (PARTITION BY scan_id)) / 2) AS gi, floor((y - min(y) OVER (PARTITION BY scan_id)) / 2) AS gj FROM {src}) a) b)"""
 
 
 @query("SELECT point_id, round(h, 12) + 0.0::DOUBLE AS z, round(z, 12) AS z_abs, abs(h) <= 0.2 AS is_ground FROM " + GROUND.format(src="p"))
@@ -115,27 +115,27 @@ def ground_local(spark, sf_dir):
     return rounded(ground.normalise_local(A.points(spark, sf_dir)).select("point_id", "z", "z_abs", "is_ground"), 12)
 
 
-@query("SELECT CAST(floor((x - x0) / 2) AS BIGINT) AS cell_i, CAST(floor((y - y0) / 2) AS BIGINT) AS cell_j, round(quantile_cont(z, 0.05), 12) + 0.0::DOUBLE AS z_ground FROM p, (SELECT min(x) AS x0, min(y) AS y0 FROM p) o GROUP BY 1, 2")
+@query("SELECT scan_id, CAST(gi AS BIGINT) AS cell_i, CAST(gj AS BIGINT) AS cell_j, round(min(zg), 12) + 0.0::DOUBLE AS z_ground FROM " + GROUND.format(src="p") + " GROUP BY scan_id, gi, gj")
 def ground_cells(spark, sf_dir):
-    return rounded(ground.local_ground(A.points(spark, sf_dir)).drop("scan_id"), 12)
+    return rounded(ground.local_ground(A.points(spark, sf_dir)), 12)
 
 
 INTENSITY = "least(greatest(intensity * (greatest(range, 0.001::DOUBLE) / 50) * (greatest(range, 0.001::DOUBLE) / 50), 1), 255)"
 
 
-@query(f"SELECT point_id, round({INTENSITY}, 6) + 0.0::DOUBLE AS intensity, r, g, b, round(abs(z - (SELECT avg(z) FROM p)), 6) + 0.0::DOUBLE AS roughness FROM p")
+@query(f"SELECT point_id, round({INTENSITY}, 6) + 0.0::DOUBLE AS intensity, r, g, b, round(abs(z - avg(z) OVER (PARTITION BY scan_id)), 12) + 0.0::DOUBLE AS roughness FROM p")
 def attributes_normalise(spark, sf_dir):
-    return rounded(attributes.normalise(A.points(spark, sf_dir)).select("point_id", "intensity", "r", "g", "b", "roughness"))
+    return rounded(attributes.normalise(A.points(spark, sf_dir)).select("point_id", "intensity", "r", "g", "b", "roughness"), roughness=12)
 
 
 @query("""SELECT point_id, round(least(greatest(r * (grey / mr), 0), 255), 6) + 0.0::DOUBLE AS r, round(least(greatest(g * (grey / mg), 0), 255), 6) + 0.0::DOUBLE AS g,
-    round(least(greatest(b * (grey / mb), 0), 255), 6) + 0.0::DOUBLE AS b FROM p, (SELECT avg(r) AS mr, avg(g) AS mg, avg(b) AS mb, (avg(r) + avg(g) + avg(b)) / 3 AS grey FROM p) m""")
+    round(least(greatest(b * (grey / mb), 0), 255), 6) + 0.0::DOUBLE AS b FROM (SELECT *, (mr + mg + mb) / 3 AS grey FROM (SELECT *, avg(r) OVER w AS mr, avg(g) OVER w AS mg, avg(b) OVER w AS mb FROM p WINDOW w AS (PARTITION BY scan_id)) n) m""")
 def rgb_white_balance(spark, sf_dir):
     balanced = attributes.normalise_rgb(A.points(spark, sf_dir), AttributeConfig(white_balance=True))
     return rounded(balanced.select("point_id", "r", "g", "b"))
 
 
-@query("SELECT 'scan0' AS scan_id, round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g, round(avg(b), 6) AS mean_b, round((avg(r) + avg(g) + avg(b)) / 3, 6) AS grey FROM p")
+@query("SELECT scan_id, round(avg(r), 6) AS mean_r, round(avg(g), 6) AS mean_g, round(avg(b), 6) AS mean_b, round((avg(r) + avg(g) + avg(b)) / 3, 6) AS grey FROM p GROUP BY scan_id")
 def white_balance_means(spark, sf_dir):
     return rounded(attributes.white_balance_means(A.points(spark, sf_dir)))
 
@@ -154,32 +154,32 @@ def kmeans_materials(spark, sf_dir):
 
 # --- tiles and QA -----------------------------------------------------------------------------------
 
-TILED = """(SELECT s.*, x0, y0, CASE WHEN x1 > x0 THEN least(floor((x - x0) / 20), ceil((x1 - x0) / 20) - 1) ELSE floor((x - x0) / 20) END AS ti,
+TILED = """(SELECT s.*, CASE WHEN x1 > x0 THEN least(floor((x - x0) / 20), ceil((x1 - x0) / 20) - 1) ELSE floor((x - x0) / 20) END AS ti,
     CASE WHEN y1 > y0 THEN least(floor((y - y0) / 20), ceil((y1 - y0) / 20) - 1) ELSE floor((y - y0) / 20) END AS tj
-    FROM {src} s, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {src}) o)"""
+    FROM (SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1, min(y) OVER w AS y0, max(y) OVER w AS y1 FROM {src} WINDOW w AS (PARTITION BY scan_id)) s)"""
 
 
-@query("SELECT point_id, CAST(ti AS BIGINT) AS tile_i, CAST(tj AS BIGINT) AS tile_j, 'tile_' || lpad(CAST(CAST(ti AS BIGINT) AS VARCHAR), 4, '0') || '_' || lpad(CAST(CAST(tj AS BIGINT) AS VARCHAR), 4, '0') AS name FROM " + TILED.format(src="p"))
+@query("SELECT scan_id, point_id, CAST(ti AS BIGINT) AS tile_i, CAST(tj AS BIGINT) AS tile_j, 'tile_' || lpad(CAST(CAST(ti AS BIGINT) AS VARCHAR), 4, '0') || '_' || lpad(CAST(CAST(tj AS BIGINT) AS VARCHAR), 4, '0') AS name FROM " + TILED.format(src="p"))
 def tile_assign(spark, sf_dir):
-    return tiling.tiled(A.points(spark, sf_dir)).select("point_id", "tile_i", "tile_j", tile_name(F.col("tile_i"), F.col("tile_j")).alias("name"))
+    return tiling.tiled(A.points(spark, sf_dir)).select("scan_id", "point_id", "tile_i", "tile_j", tile_name(F.col("tile_i"), F.col("tile_j")).alias("name"))
 
 
-def tiles_sql(src: str, density: float = 1.0, ground: str = "is_ground") -> str:
-    return f"""(SELECT CAST(ti AS BIGINT) AS tile_idx_i, CAST(tj AS BIGINT) AS tile_idx_j, min(x0) + ti * 20 AS bbox_x_min, min(y0) + tj * 20 AS bbox_y_min, min(x0) + (ti + 1) * 20 AS bbox_x_max,
+def tiles_sql(src: str, density: float = 0.25, ground: str = "is_ground") -> str:
+    return f"""(SELECT scan_id, CAST(ti AS BIGINT) AS tile_idx_i, CAST(tj AS BIGINT) AS tile_idx_j, min(x0) + ti * 20 AS bbox_x_min, min(y0) + tj * 20 AS bbox_y_min, min(x0) + (ti + 1) * 20 AS bbox_x_max,
     min(y0) + (tj + 1) * 20 AS bbox_y_max, count(*) AS point_count, count(*) / 400.0::DOUBLE AS density, count(*) / 400.0::DOUBLE >= {density} AS density_ok,
     avg(intensity) AS intensity_mean, stddev_pop(intensity) AS intensity_std, avg(CASE WHEN {ground} THEN 1.0::DOUBLE ELSE 0.0 END) AS ground_fraction,
     avg(intensity) >= 1 AS intensity_ok, avg(CASE WHEN {ground} THEN 1.0::DOUBLE ELSE 0.0 END) BETWEEN 0.05 AND 0.95 AS ground_ok,
     least(min(r), min(g), min(b)) >= 0 AND greatest(max(r), max(g), max(b)) <= 255 AS rgb_ok,
     min(x) >= -7000 AND max(x) <= 300000 AND min(y) >= 289000 AND max(y) <= 629000 AND min(z) >= -20 AND max(z) <= 400 AS crs_ok
-    FROM {TILED.format(src=src)} t GROUP BY ti, tj)"""
+    FROM {TILED.format(src=src)} t GROUP BY scan_id, ti, tj)"""
 
 
 FLAGGED = "(SELECT *, point_id % 10 < 7 AS is_ground FROM p)"
 TILE_COLUMNS = [
-    "tile_idx_i", "tile_idx_j", "bbox_x_min", "bbox_y_min", "bbox_x_max", "bbox_y_max", "point_count", "density", "density_ok",
+    "scan_id", "tile_idx_i", "tile_idx_j", "bbox_x_min", "bbox_y_min", "bbox_x_max", "bbox_y_max", "point_count", "density", "density_ok",
     "intensity_mean", "intensity_std", "ground_fraction", "intensity_ok", "ground_ok", "rgb_ok", "crs_ok",
 ]
-TILE_ROUND = ", ".join(f"round({c}, 6) + 0.0::DOUBLE AS {c}" if c.startswith(("bbox", "intensity_m", "intensity_s", "ground_f")) or c == "density" else c for c in TILE_COLUMNS)
+TILE_ROUND = ", ".join(f"round({c} + 1e-9, 6) + 0.0::DOUBLE AS {c}" if c.startswith(("bbox", "intensity_m", "intensity_s", "ground_f")) or c == "density" else c for c in TILE_COLUMNS)
 
 
 def flagged_tiles(spark, sf_dir):
@@ -188,20 +188,20 @@ def flagged_tiles(spark, sf_dir):
 
 @query(f"SELECT {TILE_ROUND} FROM {tiles_sql(FLAGGED)} t")
 def tile_qa(spark, sf_dir):
-    return rounded(flagged_tiles(spark, sf_dir).select(*TILE_COLUMNS))
+    return rounded(flagged_tiles(spark, sf_dir).select(*TILE_COLUMNS), nudge=1e-9)
 
 
 PASS = "coalesce(density_ok AND intensity_ok AND ground_ok AND crs_ok, false)"
 
 
-@query(f"SELECT tile_idx_i, tile_idx_j, point_count FROM {tiles_sql(FLAGGED)} t WHERE {PASS}")
+@query(f"SELECT scan_id, tile_idx_i, tile_idx_j, point_count FROM {tiles_sql(FLAGGED)} t WHERE {PASS}")
 def qa_route_approved(spark, sf_dir):
-    return qa.route(flagged_tiles(spark, sf_dir)).where("qa_status = 'approved'").select("tile_idx_i", "tile_idx_j", "point_count")
+    return qa.route(flagged_tiles(spark, sf_dir)).where("qa_status = 'approved'").select("scan_id", "tile_idx_i", "tile_idx_j", "point_count")
 
 
-@query(f"SELECT tile_idx_i, tile_idx_j, point_count FROM {tiles_sql(FLAGGED)} t WHERE NOT {PASS}")
+@query(f"SELECT scan_id, tile_idx_i, tile_idx_j, point_count FROM {tiles_sql(FLAGGED)} t WHERE NOT {PASS}")
 def qa_route_review(spark, sf_dir):
-    return qa.route(flagged_tiles(spark, sf_dir)).where("qa_status = 'review'").select("tile_idx_i", "tile_idx_j", "point_count")
+    return qa.route(flagged_tiles(spark, sf_dir)).where("qa_status = 'review'").select("scan_id", "tile_idx_i", "tile_idx_j", "point_count")
 
 
 _RATES = " UNION ALL ".join(
@@ -232,96 +232,103 @@ def qa_overview(spark, sf_dir):
 
 
 @query(f"""SELECT coalesce(t.scan_id, 'all') AS scan_id, coalesce(t.tile_idx_i, -1) AS tile_idx_i, CAST(sum(point_count) AS BIGINT) AS points, CAST(sum(CASE WHEN {PASS} THEN 1 ELSE 0 END) AS BIGINT) AS approved
-    FROM (SELECT 'scan0' AS scan_id, * FROM {tiles_sql(FLAGGED)} q) t GROUP BY ROLLUP (t.scan_id, t.tile_idx_i)""")
+    FROM {tiles_sql(FLAGGED)} t GROUP BY ROLLUP (t.scan_id, t.tile_idx_i)""")
 def qa_rollup(spark, sf_dir):
     report = qa.report_rollup(flagged_tiles(spark, sf_dir))
     return report.withColumns({"scan_id": F.coalesce("scan_id", F.lit("all")), "tile_idx_i": F.coalesce("tile_idx_i", F.lit(-1).cast("bigint"))})
 
 
-@query("SELECT 'scan0' AS scan_id, count(*) / 10000.0 >= 1.0 AS density_ok, avg(intensity) >= 1 AS intensity_ok FROM p")
+@query("SELECT scan_id, count(*) / 10000.0 >= 0.25 AS density_ok, avg(intensity) >= 1 AS intensity_ok FROM p GROUP BY scan_id")
 def point_cloud_qa(spark, sf_dir):
-    return qa.point_cloud_qa(A.points(spark, sf_dir), 100.0, density=1.0)
+    return qa.point_cloud_qa(A.points(spark, sf_dir), 100.0, density=0.25)
 
 
 _CLEAN = "(SELECT * FROM p WHERE range <= 120 AND intensity >= 0)"
 PREPARED = f""", f AS (SELECT * EXCLUDE (med) FROM {SPIKES.format(src=_CLEAN)} q),
     h AS (SELECT * FROM {GROUND.format(src="f")} q),
-    n AS (SELECT point_id, x, y, h AS z, abs(h) <= 0.2 AS is_ground, {INTENSITY} AS intensity, r, g, b FROM h)"""
-PIPELINE = Config(qa=QAConfig(density=0.9))
+    n AS (SELECT scan_id, point_id, x, y, h AS z, abs(h) <= 0.2 AS is_ground, {INTENSITY} AS intensity, r, g, b FROM h)"""
+PIPELINE = Config(qa=QAConfig(density=0.2))
 
 
 @query(PREPARED + f"""SELECT (SELECT count(*) FROM p) AS input_points, (SELECT count(*) FROM n) AS filtered_points, count(*) AS total_tiles,
     count(*) FILTER (density_ok AND intensity_ok AND ground_ok AND crs_ok AND rgb_ok AND intensity_mean <> 0 AND intensity_std <> 0 AND ground_fraction <> 0) AS qa_approved_tiles,
-    count(*) FILTER ({PASS}) AS qa_exported_tiles, true AS crs_ok, true AS has_rgb, true AS has_intensity FROM {tiles_sql("n", 0.9)} t""")
+    count(*) FILTER ({PASS}) AS qa_exported_tiles, true AS crs_ok, true AS has_rgb, true AS has_intensity FROM {tiles_sql("n", 0.2)} t""")
 def pipeline_summary(spark, sf_dir):
     plan, points = Preprocess(PIPELINE), A.points(spark, sf_dir)
     return plan.summary(points, plan.tiles(plan.prepared(points)))
 
 
-@query(PREPARED + f"SELECT {TILE_ROUND} FROM {tiles_sql('n', 0.9)} t")
+@query(PREPARED + f"SELECT {TILE_ROUND} FROM {tiles_sql('n', 0.2)} t")
 def pipeline_tiles(spark, sf_dir):
     plan = Preprocess(PIPELINE)
-    return rounded(plan.tiles(plan.prepared(A.points(spark, sf_dir))).select(*TILE_COLUMNS))
+    return rounded(plan.tiles(plan.prepared(A.points(spark, sf_dir))).select(*TILE_COLUMNS), nudge=1e-9)
 
 
 # --- rasters ----------------------------------------------------------------------------------------
 
-PIXELS = "(SELECT p.*, CAST(trunc((y - y0) / {res}) AS BIGINT) AS row, CAST(trunc((x - x0) / {res}) AS BIGINT) AS col FROM p, (SELECT min(x) AS x0, min(y) AS y0 FROM p) o)"
+PIXELS = "(SELECT *, CAST(trunc((y - min(y) OVER (PARTITION BY scan_id)) / {res}) AS BIGINT) AS row, CAST(trunc((x - min(x) OVER (PARTITION BY scan_id)) / {res}) AS BIGINT) AS col FROM p)"
 
 
-@query("SELECT row, col, round(max(z), 6) AS max_z, round(avg(intensity), 6) + 0.0::DOUBLE AS mean_intensity, CAST(count(*) AS DOUBLE) AS density FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2")
+@query("SELECT scan_id, row, col, round(max(z), 6) AS max_z, round(avg(intensity), 6) + 0.0::DOUBLE AS mean_intensity, CAST(count(*) AS DOUBLE) AS density FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2, 3")
 def bev3(spark, sf_dir):
-    return rounded(raster.bev(A.points(spark, sf_dir), 1.0).drop("scan_id"))
+    return rounded(raster.bev(A.points(spark, sf_dir), 1.0))
 
 
-@query("SELECT row, col, round(max(z), 6) AS max_z, count(*) AS n, round(avg(intensity), 6) + 0.0::DOUBLE AS mean_intensity, round(avg(r), 6) + 0.0::DOUBLE AS mean_r, round(avg(g), 6) + 0.0::DOUBLE AS mean_g, round(avg(b), 6) + 0.0::DOUBLE AS mean_b FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2")
+@query("SELECT scan_id, row, col, round(max(z), 6) AS max_z, count(*) AS n, round(avg(intensity), 6) + 0.0::DOUBLE AS mean_intensity, round(avg(r), 6) + 0.0::DOUBLE AS mean_r, round(avg(g), 6) + 0.0::DOUBLE AS mean_g, round(avg(b), 6) + 0.0::DOUBLE AS mean_b FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2, 3")
 def qa_raster(spark, sf_dir):
-    return rounded(raster.qa_raster(A.points(spark, sf_dir), 1.0).drop("scan_id"))
+    return rounded(raster.qa_raster(A.points(spark, sf_dir), 1.0))
 
 
-@query("SELECT row, col, string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY point_id) AS point_ids FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2")
+@query("SELECT scan_id, row, col, string_agg(CAST(point_id AS VARCHAR), ',' ORDER BY point_id) AS point_ids FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2, 3")
 def pixel_points(spark, sf_dir):
-    lists = raster.pixel_lists(raster.pixels(A.points(spark, sf_dir), 1.0))
-    return lists.select("row", "col", F.array_join(F.transform("point_ids", lambda p: p.cast("string")), ",").alias("point_ids"))
+    lists = raster.pixel_lists(raster.pixels(A.points(spark, sf_dir), 1.0), ("scan_id", "row", "col"))
+    return lists.select("scan_id", "row", "col", F.array_join(F.transform("point_ids", lambda p: p.cast("string")), ",").alias("point_ids"))
 
 
 IMAGE = """(SELECT *, least(greatest(CAST(trunc((x - (x0 + tile_ix * 25)) / 0.5) AS BIGINT), 0), 49) AS px, 49 - least(greatest(CAST(trunc((y - (y0 + tile_iy * 25)) / 0.5) AS BIGINT), 0), 49) AS py
-    FROM (SELECT *, CAST(floor((x - x0) / 25) AS BIGINT) AS tile_ix, CAST(floor((y - y0) / 25) AS BIGINT) AS tile_iy FROM p, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) o) i
+    FROM (SELECT *, CAST(floor((x - x0) / 25) AS BIGINT) AS tile_ix, CAST(floor((y - y0) / 25) AS BIGINT) AS tile_iy FROM (SELECT *, min(x) OVER w AS x0, max(x) OVER w AS x1, min(y) OVER w AS y0, max(y) OVER w AS y1 FROM p WINDOW w AS (PARTITION BY scan_id)) o) i
     WHERE tile_ix < greatest(ceil((x1 - x0) / 25), 1) AND tile_iy < greatest(ceil((y1 - y0) / 25), 1))"""
-_SIX = "tile_ix, tile_iy, px, py, max(z) AS z_max, avg(intensity) AS intensity_mean, avg(r) AS r_mean, avg(g) AS g_mean, avg(b) AS b_mean, count(*) AS density"
+_SIX = "scan_id, tile_ix, tile_iy, px, py, max(z) AS z_max, avg(intensity) AS intensity_mean, avg(r) AS r_mean, avg(g) AS g_mean, avg(b) AS b_mean, count(*) AS density"
 
 
-@query(f"SELECT tile_ix, tile_iy, px, py, round(z_max, 6) AS z_max, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in ('intensity_mean', 'r_mean', 'g_mean', 'b_mean'))}, density FROM (SELECT {_SIX} FROM {IMAGE} t GROUP BY 1, 2, 3, 4) s")
+@query(f"SELECT scan_id, tile_ix, tile_iy, px, py, round(z_max, 6) AS z_max, {', '.join(f'round({c}, 6) + 0.0::DOUBLE AS {c}' for c in ('intensity_mean', 'r_mean', 'g_mean', 'b_mean'))}, density FROM (SELECT {_SIX} FROM {IMAGE} t GROUP BY 1, 2, 3, 4, 5) s")
 def bev6(spark, sf_dir):
-    return rounded(raster.bev6(A.points(spark, sf_dir), 0.5, 25.0).drop("scan_id"))
+    return rounded(raster.bev6(A.points(spark, sf_dir), 0.5, 25.0))
 
 
-@query(f"SELECT 'scan0' AS scan_id, tile_ix, tile_iy, point_id, px, py FROM {IMAGE} t")
+@query(f"SELECT scan_id, tile_ix, tile_iy, point_id, px, py FROM {IMAGE} t")
 def bev_mapping(spark, sf_dir):
     return raster.bev_mapping(A.points(spark, sf_dir), 0.5, 25.0)
 
 
-@query(f"SELECT tile_ix, tile_iy, px, py, CAST(trunc((z_max - z0) / greatest(z1 - z0, 0.001) * 255) AS INTEGER) AS z_gray FROM (SELECT *, min(z_max) OVER w AS z0, max(z_max) OVER w AS z1 FROM (SELECT {_SIX} FROM {IMAGE} t GROUP BY 1, 2, 3, 4) s WINDOW w AS (PARTITION BY tile_ix, tile_iy)) d")
+_GRAYS = ("intensity", "r", "g", "b")
+
+
+@query(f"""SELECT scan_id, tile_ix, tile_iy, px, py, CAST(trunc((z_max - z0) / greatest(z1 - z0, 0.001) * 255) AS INTEGER) AS z_gray,
+    {', '.join(f"CAST(trunc(CASE WHEN {c}_top > 0 THEN {c}_mean / {c}_top ELSE 0 END * 255) AS INTEGER) AS {c}_gray" for c in _GRAYS)}
+    FROM (SELECT *, min(z_max) OVER w AS z0, max(z_max) OVER w AS z1, {', '.join(f"max({c}_mean) OVER w AS {c}_top" for c in _GRAYS)}
+    FROM (SELECT {_SIX} FROM {IMAGE} t GROUP BY 1, 2, 3, 4, 5) s WINDOW w AS (PARTITION BY scan_id, tile_ix, tile_iy)) d""")
 def bev_display(spark, sf_dir):
-    return raster.display_stretch(raster.bev6(A.points(spark, sf_dir), 0.5, 25.0)).select("tile_ix", "tile_iy", "px", "py", "z_gray")
+    shown = raster.display_stretch(raster.bev6(A.points(spark, sf_dir), 0.5, 25.0))
+    return shown.select("scan_id", "tile_ix", "tile_iy", "px", "py", "z_gray", *[f"{c}_gray" for c in _GRAYS])
 
 
-@query("SELECT row, col, round(n / max(n) OVER (), 6) AS density FROM (SELECT row, col, CAST(count(*) AS DOUBLE) AS n FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2) s")
+@query("SELECT scan_id, row, col, round(n / max(n) OVER (PARTITION BY scan_id), 6) AS density FROM (SELECT scan_id, row, col, CAST(count(*) AS DOUBLE) AS n FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2, 3) s")
 def density_channel(spark, sf_dir):
-    return rounded(raster.normalise_density(raster.bev(A.points(spark, sf_dir), 1.0)).select("row", "col", "density"))
+    return rounded(raster.normalise_density(raster.bev(A.points(spark, sf_dir), 1.0)).select("scan_id", "row", "col", "density"))
 
 
 # --- mapping and fusion -------------------------------------------------------------------------------
 
-ASKED = "(SELECT DISTINCT row, col FROM (SELECT row, col, avg(intensity) AS i FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2) s WHERE i > 200)"
+ASKED = "(SELECT DISTINCT scan_id, row, col FROM (SELECT scan_id, row, col, avg(intensity) AS i FROM " + PIXELS.format(res="1.0") + " t GROUP BY 1, 2, 3) s WHERE i > 200)"
 
 
-@query("SELECT t.point_id, min(q.row * 100000 + q.col) AS ord FROM " + PIXELS.format(res="1.0") + f" t JOIN {ASKED} q ON t.row = q.row AND t.col = q.col GROUP BY 1")
+@query("SELECT t.point_id, min(q.row * 100000 + q.col) AS ord FROM " + PIXELS.format(res="1.0") + f" t JOIN {ASKED} q ON t.row = q.row AND t.col = q.col AND t.scan_id IS NOT DISTINCT FROM q.scan_id GROUP BY 1")
 def backproject(spark, sf_dir):
     points = A.points(spark, sf_dir)
     labelled = threshold_scorer("mean_intensity", 200.0)(raster.bev(points, 1.0)).where("label = 1")
-    pixels = labelled.select((F.col("row") * 100_000 + F.col("col")).alias("ord"), "row", "col")
-    return mapping.backproject(raster.pixels(points, 1.0).select("row", "col", "point_id"), pixels)
+    pixels = labelled.select((F.col("row") * 100_000 + F.col("col")).alias("ord"), "scan_id", "row", "col")
+    return mapping.backproject(raster.pixels(points, 1.0).select("scan_id", "row", "col", "point_id"), pixels, ("scan_id", "row", "col"))
 
 
 @query("SELECT DISTINCT point_id FROM p WHERE intensity > 250 OR r > 200 OR z > 3")
