@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import has
+from .groups import same
 
 
 def approved(strict: bool = False) -> Column:
@@ -21,6 +22,14 @@ def route(tiles: DataFrame) -> DataFrame:
     return tiles.withColumn("qa_status", F.when(approved(), F.lit("approved")).otherwise(F.lit("review")))
 
 
+def flag_points(points: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Points of the given tiles, with their tile's flags and statistics as qa_ columns; a scan without a name is one too."""
+    flags = [c for c in tiles.columns if c.endswith("_ok") or c in ("intensity_mean", "intensity_std", "ground_fraction")]
+    keys = {"scan_id": "scan_id", "tile_i": "tile_idx_i", "tile_j": "tile_idx_j"}
+    own = tiles.select(*[F.col(c).alias(f"_of_{k}") for k, c in keys.items()], *[F.col(c).alias(f"qa_{c}") for c in flags])
+    return points.join(own, same([(F.col(k), F.col(f"_of_{k}")) for k in keys])).drop(*[f"_of_{k}" for k in keys])
+
+
 def all_flags(tiles: DataFrame) -> Column:
     """The summary's count of good tiles: every flag true and every statistic non-zero, colours included."""
     bools = [F.col(c) for c in ("density_ok", "intensity_ok", "ground_ok", "crs_ok", "rgb_ok")]

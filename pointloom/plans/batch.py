@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import camera, qa, raster
@@ -25,11 +27,29 @@ def views(points: DataFrame, axis: DataFrame, output: str | None = None, **camer
     return mapping
 
 
-def views_batch(spark: SparkSession, pairs: list[tuple[str, str | None]], output: str, **camera_params) -> list[str]:
-    """Views of every (points, axis) pair of paths; returns the paths that have no axis."""
-    skipped = [p for p, a in pairs if a is None]
-    for k, (p, a) in enumerate(sorted((p, a) for p, a in pairs if a is not None)):
-        views(readers.read_points(spark, p), readers.read_axis_csv(spark, a), f"{output.rstrip('/')}/{k:04d}", **camera_params)
+def pair_files(points: list[str], axes: list[str]) -> tuple[list[tuple[str, str]], list[str]]:
+    """(points, axis) paths of equal stem, the axis file with or without the ending _axis, and the points that have no axis."""
+
+    def stem(path: str) -> str:
+        return path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+
+    by = {stem(a).removesuffix("_axis"): a for a in sorted(axes, reverse=True)}
+    return [(p, by[stem(p)]) for p in sorted(points) if stem(p) in by], [p for p in sorted(points) if stem(p) not in by]
+
+
+def views_batch(spark: SparkSession, points: list[str], axes: list[str], output: str, threads: int = 4, **camera_params) -> list[str]:
+    """Views of every scan that has an axis of its name, in a folder of that name; returns the paths that have none.
+
+    The jobs of a few scans run at a time, so that small scans do not wait for each other's stages.
+    """
+    pairs, skipped = pair_files(points, axes)
+
+    def one(pair: tuple[str, str]) -> None:
+        name = pair[0].rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0]
+        views(readers.read_points(spark, pair[0]), readers.read_axis_csv(spark, pair[1]), f"{output.rstrip('/')}/{name}", **camera_params)
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        list(pool.map(one, pairs))
     return skipped
 
 

@@ -13,7 +13,7 @@ from ..sources import writers
 
 
 class Preprocess:
-    """The steps of preprocessing; every step is lazy but for ``export`` and ``run``."""
+    """The steps of preprocessing. They are lazy but for the small tables of one row per scan, and ``run``."""
 
     def __init__(self, config: Config | None = None):
         self.config = config or Config()
@@ -67,7 +67,7 @@ class Preprocess:
 
     def run(self, points: DataFrame, output: str, epsg: int | None = None) -> dict:
         """Write metadata and routed tiles, and return the summary."""
-        prepared = tiling.tiled(self.prepared(points), self.config.tile_size).persist(StorageLevel.MEMORY_AND_DISK)
+        prepared, tiles = tiling.tiled(self.prepared(points), self.config.tile_size).persist(StorageLevel.MEMORY_AND_DISK), None
         try:
             plain = prepared.drop("tile_i", "tile_j")
             tiles = self.tiles(plain).persist(StorageLevel.MEMORY_AND_DISK)
@@ -76,3 +76,5 @@ class Preprocess:
             return self.summary(points, tiles, epsg).first().asDict()
         finally:
             prepared.unpersist()
+            if tiles is not None:
+                tiles.unpersist()

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .config import AttributeConfig, Config, QAConfig
-from .functions.scalar import haversine, image_name, rgb_to_bytes, tile_name
+from .functions.scalar import depth_shade, haversine, image_name, rgb_to_bytes, tile_name
 from .functions.scoring import argmax_class, threshold_scorer
 from .operators import attributes, axis, camera, filters, ground, mapping, metadata, objects, qa, raster, road, tiling, trajectory
 from .plans.preprocess import Preprocess
+from .schema import named
 from .sources import readers
 from .streaming import ingest
 
@@ -264,6 +265,19 @@ def pipeline_tiles(spark, sf_dir):
     return rounded(plan.tiles(plan.prepared(A.points(spark, sf_dir))).select(*TILE_COLUMNS), nudge=1e-9)
 
 
+@query(f"""SELECT t.scan_id, point_id, density_ok AS qa_density_ok, ground_ok AS qa_ground_ok, round(ground_fraction, 6) AS qa_ground_fraction
+    FROM {TILED.format(src=FLAGGED)} t JOIN {tiles_sql(FLAGGED)} q ON t.scan_id IS NOT DISTINCT FROM q.scan_id AND ti = tile_idx_i AND tj = tile_idx_j WHERE density_ok""")
+def tile_flags(spark, sf_dir):
+    points = A.points(spark, sf_dir).withColumn("is_ground", F.col("point_id") % 10 < 7)
+    marked = qa.flag_points(tiling.tiled(points), flagged_tiles(spark, sf_dir).where("density_ok"))
+    return rounded(marked.select("scan_id", "point_id", "qa_density_ok", "qa_ground_ok", "qa_ground_fraction"))
+
+
+@query(f"SELECT tile_idx_i, tile_idx_j, point_count FROM {tiles_sql(FLAGGED)} t WHERE scan_id = 'scan1' ORDER BY 1, 2 LIMIT 10")
+def first_tiles(spark, sf_dir):
+    return readers.first_tiles(flagged_tiles(spark, sf_dir).where("scan_id = 'scan1'")).select("tile_idx_i", "tile_idx_j", "point_count")
+
+
 # --- rasters ----------------------------------------------------------------------------------------
 
 PIXELS = "(SELECT *, CAST(trunc((y - min(y) OVER (PARTITION BY scan_id)) / {res}) AS BIGINT) AS row, CAST(trunc((x - min(x) OVER (PARTITION BY scan_id)) / {res}) AS BIGINT) AS col FROM p)"
@@ -519,6 +533,29 @@ def lane_separation(spark, sf_dir):
     return rounded(qa.lane_separation(road.construct_lanes(A.road(spark), 3.5, 3)))
 
 
+_UNEVEN = f"(SELECT * FROM {LANES.format(src='road')} q WHERE seq < 8 - 2 * lane_id)"
+
+
+@query(f""", n AS (SELECT lane_id, count(*) AS n FROM {_UNEVEN} q GROUP BY 1), k AS (SELECT a.lane_id AS a, b.lane_id AS b, a.n AS na, b.n AS nb, least(a.n, b.n) AS m,
+    unnest(generate_series(0, least(a.n, b.n) - 1)) AS k FROM n a JOIN n b ON a.lane_id < b.lane_id)
+    SELECT count(*) AS pairs, round(avg(d), 6) AS mean_separation, avg(d) >= 3.0 AS lane_separation_ok FROM (SELECT k.a, k.b, avg(sqrt(pow(x.x - y.x, 2) + pow(x.y - y.y, 2))) AS d
+    FROM k JOIN {_UNEVEN} x ON x.lane_id = k.a AND x.seq = CAST(trunc(k.k * ((na - 1) / (m - 1)::DOUBLE)) AS BIGINT)
+    JOIN {_UNEVEN} y ON y.lane_id = k.b AND y.seq = CAST(trunc(k.k * ((nb - 1) / (m - 1)::DOUBLE)) AS BIGINT) GROUP BY 1, 2) s""")
+def lane_separation_uneven(spark, sf_dir):
+    lanes = road.construct_lanes(A.road(spark), 3.5, 3).where("seq < 8 - 2 * lane_id")
+    return rounded(qa.lane_separation(lanes))
+
+
+@query("""SELECT cluster_id, 'solid' AS marking_type, 100.0::DOUBLE AS width_mm, count(*) AS points, round(sum(d), 6) AS pattern_length_m FROM
+    (SELECT cluster_id, coalesce(sqrt((x - lag(x) OVER w) * (x - lag(x) OVER w) + (y - lag(y) OVER w) * (y - lag(y) OVER w)), 0) AS d
+    FROM c WHERE kind = 0 WINDOW w AS (PARTITION BY cluster_id ORDER BY point_id)) s GROUP BY 1""")
+def encode_geometries(spark, sf_dir):
+    point = F.when(F.col("kind") == 0, F.struct("point_id", "x", "y"))
+    lines = A.clusters(spark, sf_dir).groupBy("cluster_id").agg(F.sort_array(F.collect_list(point)).alias("geometry"))  # empty for other kinds
+    coded = road.encode_geometries(lines).withColumn("points", F.size("geometry").cast("bigint"))
+    return rounded(coded.select("cluster_id", "marking_type", "width_mm", "points", "pattern_length_m"))
+
+
 @query(f"""SELECT s.i, round(s.s, 6) AS s, round(m.z, 6) + 0.0::DOUBLE AS z_median FROM (SELECT axis_id, i, i * 5.0::DOUBLE AS s FROM (SELECT axis_id, unnest(generate_series(0, CAST(ceil((max(s) + 5) / 5) AS BIGINT) - 1)) AS i FROM {chain_sql('road')} g GROUP BY axis_id) u) s
     LEFT JOIN (SELECT i, median(z) AS z FROM (SELECT q.i, p.z FROM (SELECT u.i, x0 + (u.s - s0) / greatest(len, 1e-6) * (x1 - x0) AS ax, y0 + (u.s - s0) / greatest(len, 1e-6) * (y1 - y0) AS ay, -(y1 - y0) / (len + 1e-12) AS nx, (x1 - x0) / (len + 1e-12) AS ny
     FROM (SELECT axis_id, i, i * 5.0::DOUBLE AS s FROM (SELECT axis_id, unnest(generate_series(0, CAST(ceil((max(s) + 5) / 5) AS BIGINT) - 1)) AS i FROM {chain_sql('road')} g GROUP BY axis_id) u0) u
@@ -543,6 +580,46 @@ def tile_grid(spark, sf_dir):
     return tiling.generate_tiles(spark, 100_000.0, 450_000.0, 100_100.0, 450_075.0, 15.0)
 
 
+@query("SELECT point_id, CAST(trunc((1.0::DOUBLE - least(greatest(range / 100.0::DOUBLE, 0.0), 1.0)) * 255) AS INTEGER) AS grey FROM p")
+def depth_shading(spark, sf_dir):
+    return A.points(spark, sf_dir).select("point_id", depth_shade(F.col("range")).alias("grey"))
+
+
+@query("""SELECT scan_id, point_id, x, CASE WHEN point_id % 2 = 0 THEN r END AS r FROM p""")
+def concat_scans(spark, sf_dir):
+    points = A.points(spark, sf_dir)
+    coloured, plain = points.where("point_id % 2 = 0"), points.where("point_id % 2 = 1").drop("r", "g", "b")
+    return readers.concat_scans(coloured, plain).select("scan_id", "point_id", "x", "r")
+
+
+@query("SELECT point_id AS seq, x, y, z, range, intensity, r, g, b, point_id % 10 < 7 AS is_ground FROM p")
+def named_columns(spark, sf_dir):
+    columns = [*[F.col(c) for c in ("x", "y", "z", "range", "intensity", "r", "g", "b")], F.col("point_id") % 10 < 7, F.col("point_id")]
+    positional = A.points(spark, sf_dir).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)])
+    return named(positional).withColumnRenamed("col_9", "seq")
+
+
+_IMAGES = "SELECT 'scans/' || CAST(point_id AS VARCHAR) || '.npz' AS path, CAST(point_id AS VARCHAR) AS stem FROM p WHERE point_id % 3 > 0"
+_AXES = "SELECT 'axes/' || CAST(point_id AS VARCHAR) || '_axis.csv' AS partner, CAST(point_id AS VARCHAR) AS stem FROM p WHERE point_id % 2 = 0"
+
+
+def _files(spark, sf_dir):
+    ids, name = A.points(spark, sf_dir), F.col("point_id").cast("string")
+    left = ids.where("point_id % 3 > 0").select(F.concat(F.lit("scans/"), name, F.lit(".npz")).alias("path"))
+    right = ids.where("point_id % 2 = 0").select(F.concat(F.lit("axes/"), name, F.lit("_axis.csv")).alias("path"))
+    return readers.pair_by_stem(left, right, "_axis")
+
+
+@query(f"SELECT i.stem, path, partner FROM ({_IMAGES}) i JOIN ({_AXES}) a ON i.stem = a.stem")
+def paired_files(spark, sf_dir):
+    return _files(spark, sf_dir)[0].select("stem", "path", "partner")
+
+
+@query(f"SELECT path FROM ({_IMAGES}) i WHERE stem NOT IN (SELECT stem FROM ({_AXES}) a)")
+def unpaired_files(spark, sf_dir):
+    return _files(spark, sf_dir)[1].select("path")
+
+
 @query("SELECT point_id AS image_id, CAST(point_id % 5 AS INTEGER) AS class_id, round((0.5 - 0.25 / 2) * 640, 6) AS x1, round((0.5 - 0.5 / 2) * 480, 6) AS y1, round((0.5 + 0.25 / 2) * 640, 6) AS x2, round((0.5 + 0.5 / 2) * 480, 6) AS y2 FROM p WHERE point_id % 7 <> 3")
 def yolo_boxes(spark, sf_dir):
     line = F.concat((F.col("point_id") % 5).cast("string"), F.lit("  0.5 0.5 0.25 0.5"), F.when(F.col("point_id") % 7 == 3, F.lit(" x")).otherwise(F.lit(" ")))

@@ -50,8 +50,9 @@ def read_axis_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tiles(spark: SparkSession, directory: str, tiles: Sequence[tuple[int, int]] | None = None) -> DataFrame:
-    """Tile points of an export, only the folders of ``tiles`` if they are named."""
+    """Tile points of an export, only the folders of ``tiles`` (of every scan) if they are named."""
     df = spark.read.parquet(directory)
+    df = df.withColumn("scan_id", F.col("scan_id").cast("string"))
     if tiles is None:
         return df
     wanted = F.lit(False)

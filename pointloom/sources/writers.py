@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.qa import route
+from ..operators.qa import flag_points, route
 
 
 def metadata_json(metadata: DataFrame) -> str:
@@ -24,15 +24,13 @@ def save_metadata(metadata: DataFrame, path: str) -> None:
 
 
 def export_tile_metadata(tiles: DataFrame, directory: str) -> None:
-    tiles.coalesce(1).write.mode("overwrite").parquet(f"{directory.rstrip('/')}/tiles_metadata.parquet")
+    tiles.write.mode("overwrite").parquet(f"{directory.rstrip('/')}/tiles_metadata.parquet")
 
 
 def export_tiles(points: DataFrame, tiles: DataFrame, directory: str) -> None:
-    """Points by tile folder, with their tile's flags as qa_ columns."""
-    flags = [c for c in tiles.columns if c.endswith("_ok") or c in ("intensity_mean", "intensity_std", "ground_fraction")]
-    own = tiles.select("scan_id", F.col("tile_idx_i").alias("tile_i"), F.col("tile_idx_j").alias("tile_j"), *[F.col(c).alias(f"qa_{c}") for c in flags])
-    joined = points.join(own, ["scan_id", "tile_i", "tile_j"])
-    joined.repartition("tile_i", "tile_j").write.mode("overwrite").partitionBy("tile_i", "tile_j").parquet(directory)
+    """Points by folders of scan and tile, with their tile's flags as qa_ columns."""
+    keys = ["scan_id", "tile_i", "tile_j"]
+    flag_points(points, tiles).repartition(*keys).write.mode("overwrite").partitionBy(*keys).parquet(directory)
 
 
 def export_routed(points: DataFrame, tiles: DataFrame, directory: str) -> None:

@@ -9,7 +9,7 @@ import pytest
 from pointloom import schema
 from pointloom.config import Config, QAConfig
 from pointloom.functions.scoring import argmax_class, detect, threshold_scorer
-from pointloom.operators import qa, tiling
+from pointloom.operators import groups, qa, tiling
 from pointloom.plans import batch
 from pointloom.plans.preprocess import Preprocess
 from pointloom.sources import laz, readers, writers
@@ -106,6 +106,27 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert json.loads(writers.metadata_json(plan.validate(points)))["provider"] == "unknown"
 
 
+def test_tiles_of_several_scans_stay_apart(spark, tmp_path):
+    one = readers.synthetic_scan(spark, 200)
+    scans = one.unionByName(one.withColumns({"scan_id": F.lit("7"), "point_id": F.col("point_id") + 1000})).unionByName(one.withColumn("scan_id", F.lit(None).cast("string")))
+    tiles = tiling.tile_stats(scans)
+    assert tiles.select("scan_id").distinct().count() == 3 and tiles.agg(F.sum("point_count")).first()[0] == 600
+    writers.export_tiles(tiling.tiled(scans), tiles, str(tmp_path / "tiles"))
+    back = readers.read_tiles(spark, str(tmp_path / "tiles"))
+    assert back.count() == 600 and {r.scan_id for r in back.select("scan_id").distinct().collect()} == {"synthetic", "7", None}
+
+
+def test_groups_beyond_the_bound_are_joined_by_a_shuffle(spark):
+    rows = spark.createDataFrame([(k % 5 if k % 7 else None, k) for k in range(100)], "g int, v int")
+    top = rows.groupBy("g").agg(F.max("v").alias("top"))
+    few, many = groups.attach(rows, top, ["g"]), groups.attach(rows, top, ["g"], most=2)
+    assert sorted(few.collect(), key=str) == sorted(many.collect(), key=str) and few.count() == 100
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(few) and "strategy=broadcast" not in plan(many)
+    scans = tiling.tiled(readers.synthetic_scan(spark, 50))
+    assert "hashpartitioning" not in scans._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]  # points stay where they are
+
+
 def test_pipeline_of_coordinates_alone(spark):
     points = readers.synthetic_scan(spark, 1500).select("scan_id", "point_id", "x", "y", "z")
     plan = Preprocess(Config(qa=QAConfig(density=0.0)))
@@ -121,9 +142,10 @@ def test_batches(spark, tmp_path):
     batch.bev_batch(spark, paths, str(tmp_path / "out"), 1.0, 50.0)
     assert spark.read.parquet(str(tmp_path / "out" / "mapping")).count() <= 600
     (tmp_path / "s0_axis.csv").write_text("x,y\n100000,450050\n100100,450050\n")
-    skipped = batch.views_batch(spark, [(paths[0], str(tmp_path / "s0_axis.csv")), (paths[1], None)], str(tmp_path / "views"), step=50.0)
+    assert batch.pair_files(["b.parquet", "x/a.parquet"], ["y/a.csv", "y/a_axis.csv", "c.csv"]) == ([("x/a.parquet", "y/a.csv")], ["b.parquet"])
+    skipped = batch.views_batch(spark, paths, [str(tmp_path / "s0_axis.csv")], str(tmp_path / "views"), step=50.0)
     assert skipped == [paths[1]]
-    views = spark.read.parquet(str(tmp_path / "views" / "0000"))
+    views = spark.read.parquet(str(tmp_path / "views" / "s0"))
     assert {"pose_idx", "direction", "px", "py", "depth"} <= set(views.columns)
     with pytest.raises(ValueError):
         batch.bev_batch(spark, [], str(tmp_path / "none"))
