@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import struct
 
 import numpy as np
 import pytest
@@ -79,10 +80,50 @@ def test_labels_and_pairs(spark, tmp_path):
     assert [r.stem for r in found.collect()] == ["s1"] and [r.stem for r in skipped.collect()] == ["s2"]
 
 
-def test_laz_source_needs_its_package(spark):
+def write_las(path, kind, points, minor=2, compressed=False):
+    """A LAS file of (x, y, z, intensity, r, g, b) rows in centimetres."""
+    size = {0: 20, 2: 26, 7: 36}[kind]
+    head = bytearray(375 if minor >= 4 else 227)
+    head[:4], head[24], head[25], head[104] = b"LASF", 1, minor, kind | (128 if compressed else 0)
+    struct.pack_into("<HI", head, 94, len(head), len(head))
+    struct.pack_into("<HI", head, 105, size, 0 if minor >= 4 else len(points))
+    struct.pack_into("<6d", head, 131, 0.01, 0.01, 0.01, 100_000.0, 450_000.0, 0.0)
+    if minor >= 4:
+        struct.pack_into("<Q", head, 247, len(points))
+    records = bytearray()
+    for x, y, z, i, *rgb in points:
+        record = bytearray(size)
+        struct.pack_into("<iiiH", record, 0, x, y, z, i)
+        if kind in laz.RGB_AT:
+            struct.pack_into("<3H", record, laz.RGB_AT[kind], *rgb)
+        records += record
+    path.write_bytes(bytes(head) + bytes(records))
+
+
+def test_las_files(spark, tmp_path):
+    rows = [(k * 100, k * 50, -k, k % 9, k % 256, 7, 9) for k in range(25)]
+    for kind, minor in ((0, 2), (2, 2), (7, 4)):
+        write_las(tmp_path / f"s{kind}.las", kind, rows, minor)
     laz.register(spark)
-    assert laz.LazSource.name() == "laz" and "point_id" in laz.SCHEMA
-    pytest.importorskip("laspy")
+    paths = ",".join(str(tmp_path / f"s{k}.las") for k in (7, 2, 0))
+    df = spark.read.format("laz").option("path", paths).option("chunk", "10").load()
+    assert df.rdd.getNumPartitions() == 9 and df.count() == 75
+    for kind in (0, 2, 7):
+        own = df.where(F.col("scan_id") == f"s{kind}").orderBy("point_id").collect()
+        assert [r.point_id for r in own] == list(range(25))
+        for r, (x, y, z, i, *rgb) in zip(own, rows):
+            assert (r.x, r.y, r.z, r.intensity) == pytest.approx((100_000 + x / 100, 450_000 + y / 100, z / 100, i))
+            assert (r.r, r.g, r.b) == ((None,) * 3 if kind == 0 else tuple(rgb))
+    (tmp_path / "no.las").write_bytes(b"x" * 400)
+    with pytest.raises(Exception, match="not a LAS file"):
+        spark.read.format("laz").option("path", str(tmp_path / "no.las")).load().count()
+
+
+def test_compressed_files_need_their_package(spark, tmp_path):
+    laz.register(spark)
+    write_las(tmp_path / "c.laz", 2, [(1, 2, 3, 4, 5, 6, 7)], compressed=True)
+    with pytest.raises(Exception, match="laspy"):
+        spark.read.format("laz").option("path", str(tmp_path / "c.laz")).load().collect()
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
