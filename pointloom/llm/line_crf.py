@@ -2,14 +2,16 @@
 
 Every line is content or boilerplate. The field scores lines by features of their form and pairs of
 neighbours by their labels; Viterbi decoding finds the best labelling of all lines of the text, and the
-share of word characters in content lines decides whether the document is kept. The field is fitted
-on the lines of a bounded sample of labelled documents: lines of documents of quality 0, and lines
-that repeat an earlier one, count as boilerplate.
+share of word characters in content lines decides whether the document is kept.
+
+Only documents are labelled, so the labels of training lines are found first (``line_labels``): a line starts with the
+quality of its document, lines that repeat an earlier one as boilerplate; a model of single lines, fitted on these, then
+gives a line the other label where its form says so clearly, as a plain sentence among junk or a row of symbols in a good
+text. The field is fitted on the resulting sequences, in which both labels occur side by side.
 """
 
 from __future__ import annotations
 
-import json
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,9 +31,12 @@ MARKS = b"!?.,;:"
 MIN_WORDS = 50
 #: Share of word characters in content lines from which a document is kept.
 MIN_CONTENT = 0.5
-#: Documents of each quality that the field is fitted on, and the lines of one training chain.
+#: Documents of each quality that the field is fitted on, the lines of one training chain, and chains at most.
 SAMPLE_PER_CLASS = 1_000
 CHAIN = 64
+MAX_CHAINS = 6_000
+#: Log odds by form from which a training line takes the label that its document does not have.
+CLEARLY = 1.0
 
 FEATURES = (
     "one", "short", "middle", "long", "few_words", "symbols", "many_symbols", "shouting", "digits", "marks", "repeats_line",
@@ -94,18 +99,21 @@ def viterbi(scores: np.ndarray, start: float, pairs) -> list[int]:
     return out[::-1]
 
 
-def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Maximise the conditional likelihood of (features, labels) chains by gradient steps; classes weigh alike."""
-    chains = [(x[i : i + CHAIN], y[i : i + CHAIN]) for x, y in chains for i in range(0, len(y), CHAIN)]
-    if not chains or len({int(v) for _, y in chains for v in y}) < 2:
+def fit(chains: list[tuple[np.ndarray, np.ndarray]], quality: np.ndarray | None = None, rounds: int = 150, rate: float = 0.5, decay: float = 1e-3) -> Field:
+    """Maximise the conditional likelihood of (features, labels) chains by gradient steps.
+
+    ``quality`` is the label of each chain's document, by default its first line's; both kinds of chains weigh alike.
+    """
+    kind = np.array([int(y[0]) for _, y in chains]) if quality is None else np.asarray(quality, int)
+    if not len(chains) or len({int(v) for _, y in chains for v in y}) < 2 or len(set(kind.tolist())) < 2:
         return PLAIN
     n, t, d = len(chains), max(len(y) for _, y in chains), len(FEATURES)
     x, y, on = np.zeros((n, t, d)), np.zeros((n, t), int), np.zeros((n, t), bool)
     for k, (a, b) in enumerate(chains):
         x[k, : len(b)], y[k, : len(b)], on[k, : len(b)] = a, b, True
-    share = np.array([(on & (y == c)).sum() for c in (0, 1)])
-    heavy = (share.sum() / (2.0 * share))[y[:, 0]]  # a chain weighs by its first label
-    heavy = heavy / heavy.sum()
+    share = np.bincount(kind, on.sum(axis=1), 2)
+    heavy = (share.sum() / (2.0 * share))[kind]
+    heavy = heavy / (heavy * on.sum(axis=1)).sum()
     theta = np.zeros(d + 1 + 4)
     step2 = np.zeros_like(theta)
     for _ in range(rounds):
@@ -138,6 +146,17 @@ def fit(chains: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, rate: fl
     return Field(tuple(theta[:d]), float(theta[d]), tuple(map(tuple, pair)))
 
 
+def line_labels(chains: list[tuple[np.ndarray, np.ndarray]], quality: np.ndarray, clearly: float = CLEARLY) -> list[np.ndarray]:
+    """Labels of the lines of (features, first labels) chains, by a model of single lines fitted on the first labels."""
+    single = fit([(x[i : i + 1], y[i : i + 1]) for x, y in chains for i in range(len(y))], np.repeat(quality, [len(y) for _, y in chains]))
+    out = []
+    for (x, y), of in zip(chains, quality.tolist()):
+        odds = x @ np.array(single.weights) + single.start
+        again = x[:, FEATURES.index("repeats_line")] > 0
+        out.append(np.where(again, 0, np.where(odds < -clearly, 0, np.where(odds > clearly, 1, of))))
+    return out
+
+
 def featurise(data: bytes) -> tuple[list[bytes], np.ndarray]:
     lines = data.split(b"\n")
     seen: set[bytes] = set()
@@ -220,28 +239,38 @@ def labelled_sample(labels: DataFrame, per_class: int) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Field:
-    """Fit on all lines of a bounded sample of documents; features are made by the executors, three bytes a line."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, max_chains: int = MAX_CHAINS) -> Field:
+    """Fit on the lines of a bounded sample of labelled documents, at most ``max_chains`` chains of CHAIN lines.
+
+    Features are made by the executors, three bytes a line; of more chains those with the smallest hashes are taken.
+    """
     bounded_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, per_class))
-    own = docs.join(sample, F.col("doc_id") == F.col("id")).select("id", "quality", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("of"), F.col("text").cast("string").alias("text"))
+    own = texts.join(sample, F.col("of") == F.col("id")).select("id", "quality", "text")
 
     def run(batches):
         for b in batches:
-            out = []
-            for quality, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            rows = []
+            for doc, quality, text in zip(*(c.to_pylist() for c in b.columns)):
                 _, x = featurise((text or "").encode())
-                y = np.where(x[:, FEATURES.index("repeats_line")] > 0, 0, quality)
-                out.append(json.dumps([np.packbits(x.astype(bool), axis=1).tolist(), y.tolist()]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["id", "chain"])
-
-    rows = own.mapInArrow(run, "id long, chain string").groupBy("id").agg(F.min("chain").alias("chain"))
+                packed = np.packbits(x.astype(bool), axis=1)
+                rows += [(doc, quality, i, packed[i : i + CHAIN].tobytes()) for i in range(0, len(packed), CHAIN)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, kinds)], ["id", "quality", "first", "bits"])
+
+    found = own.mapInArrow(run, "id long, quality int, first long, bits binary").groupBy("id", "quality", "first").agg(F.min("bits").alias("bits"))
+    rows = found.orderBy(F.xxhash64("id", "first"), "id", "first").limit(max_chains).collect()
+    rows.sort(key=lambda r: (r["id"], r["first"]))
+    quality = np.array([r["quality"] for r in rows], int)
     chains = []
-    for r in sorted(rows.collect(), key=lambda r: r["id"]):
-        bits, y = json.loads(r["chain"])
-        x = np.unpackbits(np.array(bits, np.uint8), axis=1)[:, : len(FEATURES)].astype(float)
-        chains.append((x, np.array(y)))
-    return fit(chains)
+    for r in rows:
+        bits = np.frombuffer(bytes(r["bits"]), np.uint8).reshape(-1, -(-len(FEATURES) // 8))
+        x = np.unpackbits(bits, axis=1)[:, : len(FEATURES)].astype(float)
+        chains.append((x, np.where(x[:, FEATURES.index("repeats_line")] > 0, 0, r["quality"])))
+    if len(set(quality.tolist())) < 2:
+        return PLAIN
+    return fit([(x, y) for (x, _), y in zip(chains, line_labels(chains, quality))], quality)
 
 
 def op1_line_crf(spark, sf_dir: str) -> DataFrame:

@@ -66,3 +66,40 @@ def test_rules(spark):
     assert C.train(df, labels.limit(0)) == C.PLAIN
     field = C.train(df, labels)
     assert isinstance(field, C.Field)
+
+
+def sentence(rng):
+    return "The " + " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(12)) + "."
+
+
+def junk_line(rng):
+    return " ".join("".join(rng.choice(list("abcdefgh"), 5)) + "%%%" for _ in range(12))
+
+
+def test_lines_of_one_document_are_told_apart(spark):
+    rng = np.random.default_rng(5)
+    docs, labels = [], []
+    for i in range(240):  # bad documents hold plain sentences too, good ones a line of symbols at times
+        good = i % 2
+        share = 0.9 if good else 0.25
+        lines = [sentence(rng) if rng.random() < share else junk_line(rng) for _ in range(10)]
+        docs.append((i, "\n".join(lines), "q", i))
+        labels.append((i, good, 0))
+    mixed = [(1000 + k, "\n".join([sentence(rng) for _ in range(k)] + [junk_line(rng) for _ in range(10 - k)]), "q", 0) for k in range(11)]
+    df = spark.createDataFrame(docs + mixed, "doc_id long, text string, quality string, id long")  # clashing names
+    field = C.train(df, spark.createDataFrame(labels, "doc_id long, quality int, id int"))
+    assert field != C.PLAIN
+    for _, text, *_ in mixed:
+        assert [v for _, v in C.content_lines(text, field)] == ["%%%" not in x for x in text.split("\n")]
+    asked = spark.createDataFrame(mixed, "doc_id long, text string, quality string, id long")
+    share = {r.doc_id - 1000: (r.content_share, r.kept) for r in C.apply_rules(asked, field).collect()}
+    assert all(abs(v - k * 63 / (k * 63 + (10 - k) * 84)) < 0.1 for k, (v, _) in share.items())  # words of 5 characters, or 5 and 3 symbols
+    kept = [sum(r.kept for r in C.apply_rules(asked, field, least).collect()) for least in (0.2, 0.5, 0.8)]
+    assert kept[0] > kept[1] > kept[2] > 0 and share[10][1] and not share[0][1]
+
+
+def test_training_lines_are_bounded(spark):
+    text = "\n".join(f"line number {i} of a long text." for i in range(1000))
+    df = spark.createDataFrame([(1, text), (2, "a%%% b%%%"), (3, text + "%")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert isinstance(C.train(df, labels, max_chains=5), C.Field)
