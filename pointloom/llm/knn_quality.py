@@ -56,6 +56,15 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+def nearest(sim: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest of each row; of equal ones at the border the first."""
+    at = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(sim, at, axis=1).min(axis=1, keepdims=True)
+    for row in np.flatnonzero((sim >= last).sum(axis=1) > k).tolist():
+        at[row] = np.argsort(-sim[row], kind="stable")[:k]
+    return at
+
+
 @dataclass(frozen=True)
 class Space:
     """Weights and projection of the latent space, the labelled vectors in it, and what each vote weighs."""
@@ -74,7 +83,7 @@ class Space:
         """Share of the vote for quality 1; ties among equally near neighbours go by sample order."""
         sim = self.place(x) @ self.vectors.T
         k = min(NEIGHBOURS, sim.shape[1])
-        at = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        at = nearest(sim, k)
         near = np.maximum(np.take_along_axis(sim, at, axis=1), 1e-3) ** SHARPNESS * self.vote[at]
         return np.clip((near * self.quality[at]).sum(axis=1) / near.sum(axis=1), 0.0, 1.0).astype(float)
 
@@ -112,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS)
     """Fit on a bounded sample outside fold 2; the prior is counted over all labels outside it."""
     bounded_batches(docs.sparkSession)
     sample = F.broadcast(labelled_sample(labels, per_class))
-    own = docs.join(sample, F.col("doc_id") == F.col("id")).select("id", "quality", F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").alias("of"), F.col("text").cast("string").alias("text"))
+    own = texts.join(sample, F.col("of") == F.col("id")).select("id", "quality", "text")
 
     def run(batches):
         for b in batches:

@@ -33,3 +33,21 @@ def test_held_out(spark):
     assert np.mean([(by[i] >= 0.7) == (i % 3 > 0) for i in range(2, 150)]) > 0.95
     assert {r.score for r in K.score(df, K.train(df, labels.limit(0))).collect()} == {0.5}
     assert K.score(df.limit(0), None).count() == 0
+
+
+def test_equal_neighbours_go_by_sample_order():
+    sim = np.array([[0.5, 0.9, 0.5, 0.5, 0.1, 0.5], [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]])
+    assert sorted(K.nearest(sim, 3)[0].tolist()) == [0, 1, 2] and sorted(K.nearest(sim, 3)[1].tolist()) == [3, 4, 5]
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sim = rng.integers(0, 4, (5, 40)).astype(np.float32)
+        got = K.nearest(sim, 7)
+        assert [sorted(x) for x in got.tolist()] == [sorted(np.argsort(-row, kind="stable")[:7].tolist()) for row in sim]
+
+
+def test_clashing_columns(spark):
+    rng = np.random.default_rng(3)
+    docs = [(i, text(rng, i % 2), "x", 1, 2) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, id string, quality long, x int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, id int")
+    assert K.score(df, K.train(df, labels)).count() == 40
