@@ -7,15 +7,16 @@ inner product. Distance is the negative inner product with a centroid. How many
 data: vectors without any structure (the tests' are such) leave no cell that can be passed over safely, and a
 recall of 0.9 takes about half of all entries.
 
-Equal vectors are one entry with their smallest ids: of more than ``top + 1`` of them, no other can be
-among the nearest. Neighbouring cells form units of about BLOCK entries, larger cells are cut into parts. A
-query goes once to each unit that it visits, with a bitmap of the visited cells; each unit keeps its ``top`` per
+Of equal vectors only the ``top + 1`` smallest ids are entries: no other can be among the nearest. Neighbouring cells
+form units of at most BLOCK entries, larger cells are cut into parts; a smaller table has smaller units, so that all tasks
+have some. A query goes once to each unit that it visits, with a bitmap of the visited cells; each unit keeps its ``top`` per
 query, and the rest is a top-k over those.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +31,10 @@ TOP = 20
 CENTROIDS = 64
 SAMPLE = 8_192
 ROUNDS = 8
-#: A query visits cells until it has seen this share of all entries, and at least LEAST of them.
+#: A query visits cells until it has seen this share of all entries (and enough for its neighbours).
 SHARE = 0.55
-LEAST = 2_000
-#: Entries that are ranked together.
-BLOCK = 8_192
+#: Entries that are ranked together, at most and at least.
+BLOCK, SMALL_BLOCK = 8_192, 256
 QUERY_EVERY = 20
 
 
@@ -88,11 +88,17 @@ def centroids(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS, seed: int
 
 
 def entries(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the vectors that take part."""
+    """(vec_id, embedding array<double>) of the vectors that take part.
+
+    Those are of the table's most common length (of equally common ones the longest); others have no inner product with them.
+    """
     e = F.col("embedding").cast("array<double>")
     bad = F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("vec_id").isNotNull() & e.isNotNull() & ~bad & F.exists(e, lambda v: v != 0)
-    return vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda v: v + 0.0).alias("embedding"))
+    fine = vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda v: v + 0.0).alias("embedding"))
+    size = F.size("embedding")
+    common = fine.groupBy(size.alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return fine.where(size == (common["size"] if common else 0))
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
@@ -194,26 +200,27 @@ def _rank_units(units: Units, top: int):
     return run
 
 
-def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` nearest found of each query, a row whose id ``every`` divides.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part. Vectors are expected
-    to be of one length. Ids are expected to be unique: rows that repeat an id are candidates each, but a
-    query is asked once and never finds its own id. Fewer candidates than ``top``: all of them. An empty
-    table gives no row. Other columns are not read.
+    Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Ids are
+    expected to be unique: equal rows are one, other rows that repeat an id are candidates each, but a query is asked once, by
+    the smallest of its vectors, and never finds its own id. Fewer candidates than ``top``: all of them. An empty table gives
+    no row. Other columns are not read.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     usable = entries(vectors)
     # of equal vectors only the smallest top + 1 ids can be found
     alike = Window.partitionBy("embedding").orderBy("vec_id")
-    kept = cut_lineage(usable.withColumn("r", F.row_number().over(alike)).where(F.col("r") <= top + 1).drop("r"))
+    kept = cut_lineage(usable.distinct().withColumn("r", F.row_number().over(alike)).where(F.col("r") <= top + 1).drop("r"))
     index, cells = build(kept)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    want = max(least, int(share * int(index.filled.sum())))
-    asked = usable.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id"])
-    units = Units.of(index.filled, BLOCK)
+    total = int(index.filled.sum())
+    want = max(math.ceil(share * total), 2 * top + 2)
+    asked = usable.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    units = Units.of(index.filled, min(BLOCK, max(SMALL_BLOCK, total // shuffle_parts(spark))))
     shared = spark.sparkContext.broadcast((index, units))  # bounded by CENTROIDS
 
     def visit(batches):

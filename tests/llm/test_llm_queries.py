@@ -27,7 +27,7 @@ def test_recall_on_a_larger_table(spark):
     vectors = spark.read.parquet(f"{path}/embeddings.parquet").toPandas()
     x = np.stack(vectors.embedding).astype(float)
     ids = vectors.vec_id.to_numpy()
-    got = multi_index.search(spark.read.parquet(f"{path}/embeddings.parquet"), least=200).toPandas().groupby("query_id").vec_id.apply(set)
+    got = multi_index.search(spark.read.parquet(f"{path}/embeddings.parquet")).toPandas().groupby("query_id").vec_id.apply(set)
     hits = []
     for q in np.flatnonzero(ids % 20 == 0):
         s = x @ x[q]

@@ -34,7 +34,10 @@ def test_recall_and_exact_scores(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16)) * 2
     vectors = [(i, (centres[rng.integers(12)] + rng.normal(size=16)).astype(np.float32)) for i in range(4_000)]
-    rows = M.search(frame(spark, vectors), least=400).collect()
+    check_recall(vectors, M.search(frame(spark, vectors)).collect())
+
+
+def check_recall(vectors, rows, least=0.9):
     want = brute(vectors)
     by = dict(vectors)
     got = {}
@@ -43,16 +46,44 @@ def test_recall_and_exact_scores(spark, monkeypatch):
         assert r.score == pytest.approx(float(np.dot(by[r.query_id].astype(float), by[r.vec_id].astype(float))), abs=1e-9)
     assert set(got) == set(want) and all(sorted(v) == list(range(1, 21)) for v in got.values())
     hits = [len({i for i, _ in got[q].values()} & {i for i, _ in want[q]}) / 20 for q in want]
-    assert np.mean(hits) >= 0.9
+    assert np.mean(hits) >= least
+
+
+def test_recall_of_a_small_share_where_vectors_have_structure(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24)) * 3
+    vectors = [(i, (centres[rng.integers(40)] + rng.normal(size=24)).astype(np.float32)) for i in range(6_000)]
+    check_recall(vectors, M.search(frame(spark, vectors), share=0.08).collect())
+
+
+@pytest.mark.parametrize("n", [120, 500])
+def test_small_tables_take_the_same_way(spark, n):
+    rng = np.random.default_rng(n)
+    vectors = [(i, rng.normal(size=64).astype(np.float32)) for i in range(n)]
+    seen = []
+    check_recall(vectors, M.search(frame(spark, vectors)).collect(), 0.85)
+    usable = M.entries(frame(spark, vectors))
+    index, _ = M.build(usable)
+    for _, v in vectors[::20]:
+        seen.append(index.filled[index.visit(v.astype(float), int(M.SHARE * n))].sum())
+    assert max(seen) < 0.8 * n  # the index passes over cells of small tables too
+
+
+def test_repeated_rows_and_other_lengths(spark):
+    v, w = [1.0, 2.0, 0.5], [0.5, 1.0, 1.0]
+    rows = [(20, v)] * 25 + [(21, v), (22, w), (22, w)] + [(k, [3.0, 3.0]) for k in (23, 40)] + [(24, []), (60, [9.0] * 7)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in M.search(frame(spark, rows)).collect())
+    # of 27 vectors of three components, 2 of two and one of seven, those of three take part
+    assert got == [(20, 1, 21, 5.25), (20, 2, 22, 3.0)]
 
 
-def test_small_tables_are_exact_with_ties(spark):
+def test_a_share_of_one_is_exact_with_ties(spark):
     rng = np.random.default_rng(2)
     vectors = [(i, rng.integers(-2, 3, 6).astype(float)) for i in range(1, 400)]
     vectors += [(1000 + i, np.array([1.0, 2, 0, 1, 0, 1])) for i in range(90)]  # one vector that many share
     vectors = [(i, v) for i, v in vectors if v.any()]
     odd = [(2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 0, 0, 0, 0]), (2060, [float("nan")] + [1.0] * 5), (2080, [float("inf")] + [1.0] * 5), (None, [1.0] * 6)]
-    rows = M.search(frame(spark, vectors + odd)).collect()
+    rows = M.search(frame(spark, vectors + odd), share=1.0).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
