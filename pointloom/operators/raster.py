@@ -72,7 +72,7 @@ def bev_mapping(points: DataFrame, resolution: float = 0.05, tile: float = 100.0
 
 
 def pixel_lists(mapping: DataFrame, keys: Sequence[str] = ("row", "col")) -> DataFrame:
-    """The points of each pixel as a sorted array."""
+    """The points of each pixel as a sorted array; all ids of one pixel meet in a row, so a pixel must fit a task."""
     return mapping.groupBy(*keys).agg(F.sort_array(F.collect_list("point_id")).alias("point_ids"))
 
 
