@@ -92,47 +92,95 @@ def arcs(word: bytes, vocabulary: dict[bytes, int]) -> list[tuple[int, int, int]
     return out
 
 
+class Trie:
+    """The pieces as a table from (node, byte) to node, so that all places of many words are followed at once."""
+
+    def __init__(self, vocabulary: dict[bytes, int]):
+        self.vocabulary = vocabulary
+        node = {b"": 0} | {p: k for k, p in enumerate(vocabulary, 1)}
+        keys = np.fromiter((node[p[:-1]] * 256 + p[-1] for p in vocabulary), np.int64, len(vocabulary))
+        self.piece = np.concatenate(([-1], np.fromiter(vocabulary.values(), np.int64, len(vocabulary))))
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.child = np.zeros(1 << self.bits, np.int64)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # each free slot takes one of its keys, the others go on to the next slot
+            free = left[self.key[slot[left]] < 0]
+            self.key[slot[free]], self.child[slot[free]] = keys[free], free + 1
+            left = left[self.key[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & (len(self.key) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that the bytes lead to, 0 where no piece goes on."""
+        keys = node * 256 + byte
+        slot = self._slot(keys)
+        out = np.where(self.key[slot] == keys, self.child[slot], 0)
+        left = np.flatnonzero((self.key[slot] != keys) & (self.key[slot] >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.key) - 1)
+            found = self.key[slot[left]] == keys[left]
+            out[left[found]] = self.child[slot[left[found]]]
+            left = left[~found & (self.key[slot[left]] >= 0)]
+        return out
+
+    def arcs(self, texts: list[bytes]) -> np.ndarray:
+        """Rows own, start, end, piece of all pieces in the texts."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+        own = np.repeat(np.arange(len(texts)), size)
+        first = np.cumsum(size) - size
+        at, node = np.arange(len(data)), np.zeros(len(data), np.int64)
+        last = (first + size)[own]
+        found, depth = [], 0
+        while len(at):
+            node = self.step(node, data[at + depth])
+            depth += 1
+            hit = self.piece[node] >= 0
+            start = at[hit] - first[own[at[hit]]]
+            found.append(np.stack([own[at[hit]], start, start + depth, self.piece[node[hit]]]))
+            on = (node > 0) & (at + depth < last[at])
+            at, node = at[on], node[on]
+        return np.concatenate(found, axis=1) if found else np.zeros((4, 0), np.int64)
+
+
 class Lattice:
     """All pieces that occur in each of some words, in arrays; a word is its bytes after one space."""
 
-    def __init__(self, texts: list[bytes], vocabulary: dict[bytes, int]):
-        each = [arcs(w, vocabulary) for w in texts]
-        count = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.array(list(chain.from_iterable(each)), np.int64).reshape(-1, 3).T
-        a = np.concatenate([np.repeat(np.arange(len(texts)), count)[None], flat])
+    def __init__(self, texts: list[bytes], trie: Trie):
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.arcs = a[:, np.lexsort((a[0], a[2]))]  # by end, then word
         self.longest = int(self.size.max(initial=0))
+        a = trie.arcs(texts)
+        self.arcs = a[:, np.argsort(a[2].astype(np.int16 if self.longest < 1 << 15 else np.int64), kind="stable")]  # by end
+
+    def _sweep(self, own: np.ndarray, here: np.ndarray, there: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+        """Add weight times the value there to the value here, place by place; arcs are in the order of ``here``, up or down."""
+        cut = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1], [True]))) if len(here) else np.zeros(1, int)
+        for s, e in zip(cut, cut[1:]):
+            o = own[s:e]
+            value = out[o, there[s:e]] * weight[s:e]
+            for k in range(out.shape[2]):
+                out[:, here[s], k] += np.bincount(o, value[:, k], len(out))
 
     def forward(self, prob: np.ndarray) -> np.ndarray:
         """alpha[word, place, language] with prob[piece, language]."""
         own, start, end, piece = self.arcs
         alpha = np.zeros((len(self.size), self.longest + 1, prob.shape[1]))
         alpha[:, 0] = 1.0
-        cut = np.searchsorted(end, np.arange(1, self.longest + 2))
-        for e in range(1, self.longest + 1):
-            s = slice(cut[e - 1], cut[e])
-            if s.start < s.stop:
-                o = own[s]
-                first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                alpha[o[first], e] = np.add.reduceat(alpha[o, start[s]] * prob[piece[s]], first, axis=0)
+        self._sweep(own, end, start, prob[piece], alpha)
         return alpha
 
     def expected(self, prob: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected uses of each piece, one language: prob[piece], weight[word]; and the words whose sums leave the range."""
-        own, start, end, piece = self.arcs
         alpha = self.forward(prob[:, None])[:, :, 0]
         total = alpha[np.arange(len(self.size)), self.size]
-        beta = np.zeros_like(alpha)
-        beta[np.arange(len(self.size)), self.size] = 1.0
-        order = np.lexsort((own, -start))
-        cut = np.searchsorted(-start[order], np.arange(-self.longest, 2))
-        for k in range(len(cut) - 1):
-            at = order[cut[k] : cut[k + 1]]
-            if len(at):
-                o = own[at]
-                first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-                beta[o[first], start[at[0]]] += np.add.reduceat(beta[o, end[at]] * prob[piece[at]], first)
+        back = np.zeros((*alpha.shape, 1))
+        back[np.arange(len(self.size)), self.size] = 1.0
+        own, start, end, piece = self.arcs[:, np.argsort(-self.arcs[1], kind="stable")]
+        self._sweep(own, start, end, prob[piece][:, None], back)
+        beta = back[:, :, 0]
         fine = (total > LEAST) & (alpha.max(axis=1) < MOST) & (beta.max(axis=1) < MOST)
         share = np.divide(weight, total, out=np.zeros(len(total)), where=fine)
         use = alpha[own, start] * prob[piece] * beta[own, end] * share[own]
@@ -187,7 +235,7 @@ class Scorer:
         return cls._held[1]
 
     def __init__(self, vocabulary: dict[bytes, int], prob: np.ndarray):
-        self.vocabulary, self.prob = vocabulary, prob
+        self.vocabulary, self.prob, self.trie = vocabulary, prob, Trie(vocabulary)
         self.scaled = prob * np.exp(BYTE * np.minimum(lengths(vocabulary), LONG_WORD))[:, None]
         self.log_prob = np.log(prob)
         self.known: dict[str, int] = {}
@@ -221,7 +269,7 @@ class Scorer:
         texts = [b" " + w.encode() for w in new]
         out = np.full((len(new), self.prob.shape[1]), np.nan)
         for part in batches_of(texts, self.prob.shape[1]):
-            lattice = Lattice([texts[k] for k in part], self.vocabulary)
+            lattice = Lattice([texts[k] for k in part], self.trie)
             alpha = lattice.forward(self.scaled)
             total = alpha[np.arange(len(part)), lattice.size]
             fine = (total.min(axis=1) > LEAST) & (alpha.max(axis=(1, 2)) < MOST)
@@ -240,12 +288,12 @@ def fit(counts: Counter, vocabulary: dict[bytes, int], rounds: int = EM_ROUNDS,
     ``smoothing`` is added to each piece's expected uses; a single byte always keeps some probability, so
     every word has a segmentation.
     """
-    size = lengths(vocabulary)
+    size, trie = lengths(vocabulary), Trie(vocabulary)
     factor = np.exp(BYTE * np.minimum(size, LONG_WORD))
     names = sorted(counts) or ["a"]
     texts = [b" " + w.encode() for w in names]
     weight = np.array([counts[w] or 1 for w in names], float)
-    parts = [(np.array(part), Lattice([texts[k] for k in part], vocabulary)) for part in batches_of(texts, 1)]
+    parts = [(np.array(part), Lattice([texts[k] for k in part], trie)) for part in batches_of(texts, 1)]
     long = [k for k, w in enumerate(texts) if len(w) > LONG_WORD]
     p = np.full(len(size), smoothing)
     for at, lattice in parts:

@@ -5,6 +5,7 @@ from zlib import crc32
 import numpy as np
 from pointloom.llm import langid as L
 
+# what only begins a piece is in a vocabulary too
 VOCAB = {b" ": 0, b"a": 1, b"b": 2, b"ab": 3, b" a": 4, b"ba": 5, b"bab": 6}
 
 
@@ -22,17 +23,25 @@ def brute(word, prob):
 def test_forward_sums_all_segmentations():
     prob = np.random.default_rng(0).random((len(VOCAB), 3))
     texts = [b" a", b" ab", b" babab", b" bbaabab"]
-    lattice = L.Lattice(texts, VOCAB)
+    lattice = L.Lattice(texts, L.Trie(VOCAB))
     alpha = lattice.forward(prob)
     for k, w in enumerate(texts):
         assert np.allclose(alpha[k, len(w)], brute(w, prob))
         assert np.allclose(L.log_forward(len(w), L.arcs(w, VOCAB), np.log(prob))[-1], np.log(brute(w, prob)))
 
 
+def test_trie_finds_what_a_search_finds():
+    vocabulary = L.load_pieces(L.public_vocabulary())
+    texts = [b" the", b" hello", " ünïcode".encode(), b" " + b"ab" * 40, b" ", " 你好世界".encode()]
+    got = {tuple(x) for x in L.Trie(vocabulary).arcs(texts).T.tolist()}
+    assert got == {(k, *x) for k, t in enumerate(texts) for x in L.arcs(t, vocabulary)}
+    assert L.Trie(VOCAB).arcs([]).shape == (4, 0)
+
+
 def test_expected_uses():
     prob = np.random.default_rng(1).random(len(VOCAB))
     w = b" babab"
-    got, out = L.Lattice([w], VOCAB).expected(prob, np.array([2.0]))
+    got, out = L.Lattice([w], L.Trie(VOCAB)).expected(prob, np.array([2.0]))
     assert not len(out) and np.allclose(got, 2 * L.log_expected(len(w), L.arcs(w, VOCAB), np.log(prob), len(VOCAB)))
     eps = 1e-6
     for p in range(len(VOCAB)):  # uses of a piece are the derivative by its log probability
