@@ -7,13 +7,16 @@ doc_id, or the same document further left). The work is done in four steps.
    smallest mixed hash among those it contains (leftmost on ties). Equal strings have equal anchors
    at equal places, so only strings below one anchor need comparing. All starts that share an
    anchor form its context: the bytes from the first start to the end of the last string.
-2. Equal contexts (128 bits of hashes of anchor and context) are settled by order alone: all but the
-   first are removed. Each task does so for its own rows before the shuffle.
+2. Equal contexts are settled by order alone: all but the first are removed. Each task does so for its own rows
+   before the shuffle. Contexts are equal here when their 128-bit digests are, beside the anchor's 64 bits; their bytes are
+   not compared again.
 3. Different contexts below one anchor are compared as suffixes: a mergesort whose comparisons find
    the common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
    that agree on ``length`` bytes are one class, verified byte by byte; all but the earliest of a
    class are removed. An anchor with very many contexts is cut into blocks; what survives in
-   its blocks is settled by the smallest start per class.
+   its blocks is settled by the smallest start per class, a 128-bit digest of its bytes. A string that two contexts
+   share reaches ``(length - gram) / 2`` bytes beyond the anchor on one side, so contexts that agree with no other one so far
+   on either side are not sorted.
 4. The removed spans of a document are joined, and its remaining bytes are what is kept.
 """
 
@@ -31,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, shuffle_parts, table, tidy
+from .common import bounded_batches, cut_lineage, shuffle_parts, table, tidy
+from .hashing import BASES, PrefixHashes, mix
 
 LENGTH = 100
 GRAM = 24
@@ -40,52 +44,9 @@ CHUNK = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
 #: Contexts of one anchor that are sorted together; more are cut into blocks of so many.
 BLOCK_CONTEXTS = 1024
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 MULTIPLIERS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
-class PrefixHashes:
-    """Polynomial prefix hashes modulo 2**64 of a byte buffer: the hash of any part in constant time."""
-
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, data: np.ndarray, base: np.uint64 = BASES[0]):
-        n = len(data)
-        power, inverse = self.tables(int(base), n + 1)
-        self.inverse = inverse
-        self.prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=self.prefix[1:])
-
-    @classmethod
-    def tables(cls, base: int, n: int):
-        have = cls._powers.get(base)
-        if have is None or len(have[0]) < n:
-            size = max(1 << 17, 1 << int(n - 1).bit_length())
-            mod = 1 << 64
-            made = []
-            for b in (base, pow(base, -1, mod)):
-                p = np.ones(size, np.uint64)
-                done = 1
-                while done < size:
-                    step = min(done, size - done)
-                    p[done : done + step] = p[:step] * np.uint64(pow(b, done, mod))
-                    done += step
-                made.append(p)
-            have = cls._powers[base] = (made[0], made[1])
-        return have[0][:n], have[1][:n]
-
-    def of(self, start, length) -> np.ndarray:
-        """Hashes of the parts that begin at ``start`` (an array, or a slice for parts of one length)."""
-        end = slice(start.start + length, start.stop + length) if isinstance(start, slice) else start + length
-        return (self.prefix[end] - self.prefix[start]) * self.inverse[start]
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of a hash, so that all of them depend on the whole string."""
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 def window_minimum(h: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by doubling."""
     out, have = h, 1
@@ -96,8 +57,13 @@ def window_minimum(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def digests(parts) -> np.ndarray:
+    """128-bit digests of byte strings, as rows of two numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), "<u8").reshape(-1, 2)
+
+
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """For each anchor of the text: (hash, context hash, first start, number of starts, gram's place from there).
+    """For each anchor of the text: (hash, both halves of the context's digest, first start, number of starts, gram's place from there).
 
     Longer texts go through in chunks that overlap; a context cut at a chunk's end differs from whole
     ones with the same anchor and so is compared with them.
@@ -129,10 +95,10 @@ def _anchors(data: np.ndarray, offset: int, length: int, gram: int):
     count = np.diff(first, append=len(at))
     ends = (first + count + (length - 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    context = np.fromiter((digest(view[x:y]) for x, y in zip(first.tolist(), ends)), np.uint64, len(first))
+    context = digests(view[x:y] for x, y in zip(first.tolist(), ends))
     anchor = np.fromiter((digest(view[x : x + gram]) for x in place.tolist()), np.uint64, len(first))
     place = place - first
-    return anchor, context ^ mix((place * 131 + count).astype(np.uint64)), first + offset, count, place
+    return anchor, context[:, 0] ^ mix((place * 131 + count).astype(np.uint64)), context[:, 1], first + offset, count, place
 
 
 # --- the hash-compared suffix sort ------------------------------------------------------------
@@ -220,7 +186,7 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit:
 
 # --- steps on DataFrames ------------------------------------------------------------------------
 
-_ANCHOR = "a long, c long, doc_id long, start int, n int, place int"
+_ANCHOR = "a long, c long, e long, doc_id long, start int, n int, place int"
 
 
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -254,18 +220,19 @@ def _find(length: int, gram: int):
     """Anchors of each text; of equal contexts that meet in a task only the first goes on."""
 
     def settle(parts):
-        a, c, d, s, n, p = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((s, d, c, a))
-        a, c, d, s, n, p = (x[order] for x in (a, c, d, s, n, p))
-        go = _first_of(a, c)
-        row = _first_of(a, c, d, s)  # a repeated row of the input is the same place
+        a, c, e, d, s, n, p = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((s, d, e, c, a))
+        a, c, e, d, s, n, p = (x[order] for x in (a, c, e, d, s, n, p))
+        go = _first_of(a, c, e)
+        row = _first_of(a, c, e, d, s)  # a repeated row of the input is the same place
         gone = row & ~go
         doc, lo, hi = merge_spans(d[gone], s[gone], s[gone] + n[gone] + length - 1)
         zero = np.zeros(len(lo), np.int64)
         mark = np.concatenate((np.zeros(go.sum(), np.int32), np.ones(len(lo), np.int32)))
         return _record(
             _FOUND,
-            *(np.concatenate(x) for x in ((a[go].view(np.int64), zero), (c[go].view(np.int64), zero), (d[go], doc), (s[go], lo), (n[go], hi), (p[go], zero))),
+            *(np.concatenate((x[go].view(np.int64), zero)) for x in (a, c, e)),
+            *(np.concatenate(x) for x in ((d[go], doc), (s[go], lo), (n[go], hi), (p[go], zero))),
             mark,
         )
 
@@ -276,8 +243,8 @@ def _find(length: int, gram: int):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 found = anchors(np.frombuffer(text or b"", np.uint8), length, gram)
                 if found is not None:
-                    a, c, first, count, place = found
-                    parts.append((a, c, np.full(len(a), doc_id, np.int64), first, count, place))
+                    a, c, e, first, count, place = found
+                    parts.append((a, c, e, np.full(len(a), doc_id, np.int64), first, count, place))
                     held += len(a)
                     if held >= _GATHER:
                         yield settle(parts)
@@ -292,7 +259,7 @@ _GROUPED = "doc_id long, start int, n int, place int, lo int, hi int, block long
 
 
 def _group(length: int, block_contexts: int):
-    """Rows sorted by (kind, a, c, doc_id, start): spans of repeated contexts, and the contexts that must be compared.
+    """Rows sorted by (kind, a, c, e, doc_id, start): spans of repeated contexts, and the contexts that must be compared.
 
     At most ``block_contexts`` rows are held: an anchor's contexts are told once it has a second one,
     and go out in blocks, marked hot, as soon as they are more than that.
@@ -304,7 +271,7 @@ def _group(length: int, block_contexts: int):
         return d, s, n, p, minus, minus, a + index // block_contexts, np.broadcast_to(hot, len(a))
 
     def run(batches):
-        last = None  # (a, c, doc_id, start) of the row before
+        last = None  # (a, c, e, doc_id, start) of the row before
         carry = None  # rows of the anchor at hand that are not told yet
         hot, hot_rows = None, 0  # the anchor at hand, if it is told in blocks, and its rows so far
         for b in batches:
@@ -312,18 +279,18 @@ def _group(length: int, block_contexts: int):
             if not len(cols[0]):
                 continue
             out = []
-            done = cols[6] == 1
+            done = cols[7] == 1
             if done.any():
-                d, lo, hi = cols[2][done], cols[3][done], cols[4][done]
+                d, lo, hi = cols[3][done], cols[4][done], cols[5][done]
                 zero = np.zeros(len(d), np.int64)
                 out.append((d, lo, hi, zero, lo, hi, zero, zero.astype(bool)))
-            a, c, d, s, n, p = (x[~done] for x in cols[:6])
+            a, c, e, d, s, n, p = (x[~done] for x in cols[:7])
             if len(a):
-                new_c, new_row = _first_of(a, c), _first_of(a, c, d, s)
+                new_c, new_row = _first_of(a, c, e), _first_of(a, c, e, d, s)
                 if last is not None:
-                    new_c[0] = (a[0], c[0]) != last[:2]
-                    new_row[0] = (a[0], c[0], d[0], s[0]) != last
-                last = (a[-1], c[-1], d[-1], s[-1])
+                    new_c[0] = (a[0], c[0], e[0]) != last[:3]
+                    new_row[0] = (a[0], c[0], e[0], d[0], s[0]) != last
+                last = (a[-1], c[-1], e[-1], d[-1], s[-1])
                 k = new_row & ~new_c
                 zero = np.zeros(int(k.sum()), np.int64)
                 out.append((d[k], s[k], n[k], p[k], s[k], s[k] + n[k] + length - 1, zero, zero.astype(bool)))
@@ -361,11 +328,34 @@ _CONTEXT = "block long, doc_id long, start int, n int, place int, hot boolean, b
 _JUDGED = "doc_id long, lo int, hi int, k1 long, k2 long"
 
 
-def _compare(length: int):
+def partnered(block: np.ndarray, place: np.ndarray, texts: list[bytes], length: int, gram: int) -> np.ndarray:
+    """Marks the contexts that agree with another one of their block to one side of the anchor so far as a common string must."""
+    half = (length - gram + 1) // 2
+    out = np.zeros(len(texts), bool)
+    digest = xxhash.xxh64_intdigest
+    for side in (0, 1):
+        pieces = (t[p : p + gram + half] if side else t[max(0, p - half) : p + gram] for t, p in zip(texts, place.tolist()))
+        whole = np.zeros(len(texts), bool)
+        h = np.zeros(len(texts), np.uint64)
+        for k, x in enumerate(pieces):
+            if len(x) == gram + half:
+                whole[k], h[k] = True, digest(x)
+        at = np.flatnonzero(whole)
+        order = at[np.lexsort((h[at], block[at]))]
+        same = (block[order][1:] == block[order][:-1]) & (h[order][1:] == h[order][:-1])
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+    return out
+
+
+def _compare(length: int, gram: int):
     """Rows of _CONTEXT sorted by block: the spans removed, and the classes of hot anchors that must still be settled."""
 
     def judge(rows):
-        block, d, s, n, p, hot, texts = rows
+        go = partnered(rows[0], rows[4], rows[6].tolist(), length, gram) | rows[5].astype(bool)
+        block, d, s, n, p, hot, texts = (x[go] for x in rows)
+        if not len(texts):
+            return _record(_JUDGED, *[np.zeros(0, np.int64)] * 5)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         offset = np.cumsum(size) - size
@@ -387,8 +377,9 @@ def _compare(length: int):
         open_ = np.flatnonzero(~same & hot[own[by]])
         if len(open_):
             x = starts[by[open_]]
-            k1, k2 = (mix(PrefixHashes(data, b).of(x, length)).view(np.int64) for b in BASES)
-            out.append((doc[open_], at[open_], np.full(len(open_), -1), k1, k2))
+            view = memoryview(data)
+            key = digests(view[i : i + length] for i in x.tolist()).view(np.int64)
+            out.append((doc[open_], at[open_], np.full(len(open_), -1), key[:, 0], key[:, 1]))
         return _record(_JUDGED, *_joined(*(np.concatenate(x) for x in zip(*out))))
 
     def run(batches):
@@ -455,7 +446,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     to = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc_id"))
     grouped = (
         found.repartition(parts, to)
-        .sortWithinPartitions("kind", "a", "c", "doc_id", "start")
+        .sortWithinPartitions("kind", "a", "c", "e", "doc_id", "start")
         .mapInArrow(tidy(_group(length, block_contexts)), _GROUPED)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
@@ -466,11 +457,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         .agg(F.collect_list(F.struct("block", "start", "n", "place", "hot")).alias("rows"))
     )
     squeezed = docs.mapInArrow(tidy(_squeeze), docs.schema)
-    contexts = squeezed.join(asked.hint("shuffle_hash"), "doc_id").select("doc_id", "data", "rows").mapInArrow(tidy(_contexts(length)), _CONTEXT)
+    contexts = squeezed.join(asked, "doc_id").select("doc_id", "data", "rows").mapInArrow(tidy(_contexts(length)), _CONTEXT)
     judged = (
         contexts.repartition(parts, "block")
         .sortWithinPartitions("block")
-        .mapInArrow(tidy(_compare(length)), _JUDGED)
+        .mapInArrow(tidy(_compare(length, gram)), _JUDGED)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     settled = judged.where("hi >= 0").select("doc_id", "lo", "hi")
@@ -542,13 +533,24 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([*out.columns[:4], text, row.pop()], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_text", "row"])
 
 
+def one_id_a_text(data: DataFrame) -> DataFrame | None:
+    """``data`` with a column place that orders its documents by (doc_id, hash of data); None if ids tell them apart already."""
+    digest = F.xxhash64("data")
+    known = data.where("doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high"))
+    if known.where("low <> high").isEmpty():
+        return None
+    places = data.select("doc_id", digest.alias("h")).where("doc_id is not null").distinct().orderBy("doc_id", "h")
+    places = cut_lineage(places.select(F.col("doc_id").alias("d"), "h", F.monotonically_increasing_id().alias("place")))
+    return data.join(places, (F.col("doc_id") == F.col("d")) & (digest == F.col("h")), "left").drop("d", "h")
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_contexts: int = BLOCK_CONTEXTS, rows: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs``; ``kept`` are the remaining bytes.
 
     Null texts count as empty; texts shorter than ``length`` are kept whole. doc_id orders the
     documents, so it is expected to be unique: rows that repeat a doc_id and its text are one place
-    and each come out like that one document, different texts under one doc_id share their spans,
-    and rows with a null doc_id are kept whole. Two tables stay persisted, as the result is lazy;
+    and each come out like that one document, different texts under one doc_id are documents of their own in an order by
+    hash, and rows with a null doc_id are kept whole. Two tables stay persisted, as the result is lazy;
     spark.catalog.clearCache() frees them. Other columns are not read, unless ``rows`` asks for
     the kept text as a string and the rest of each input row as a struct (kept_text and row, in place of kept).
     """
@@ -558,9 +560,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     data = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"), *whole
     )
-    spans = repeated_spans(data.where("doc_id is not null").select("doc_id", "data"), length, gram, block_contexts)
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = data.mapInArrow(tidy(_squeeze), data.schema).join(per_doc.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "data", "spans", *(["row"] if rows else []))
+    own = one_id_a_text(data)
+    data, by = (data, "doc_id") if own is None else (own, "place")
+    spans = repeated_spans(data.where("doc_id is not null").select(F.col(by).alias("doc_id"), "data"), length, gram, block_contexts)
+    per_doc = spans.groupBy(F.col("doc_id").alias("place")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    squeezed = data.select("doc_id", "data", F.col(by).alias("at"), *(["row"] if rows else []))
+    squeezed = squeezed.mapInArrow(tidy(_squeeze), squeezed.schema)
+    joined = squeezed.join(per_doc, F.col("at") == F.col("place"), "left").select("doc_id", "data", "spans", *(["row"] if rows else []))
     if rows:
         schema = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
         return joined.mapInArrow(tidy(_kept_rows), schema.add("kept_text", "string").add("row", data.schema["row"].dataType))

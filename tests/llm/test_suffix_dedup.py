@@ -56,7 +56,7 @@ def test_edges(spark):
 def test_long_text_in_chunks(monkeypatch):
     monkeypatch.setattr(S, "CHUNK", 64)
     data = np.frombuffer(bytes(np.random.default_rng(0).integers(97, 101, 1000).astype(np.uint8)), np.uint8)
-    a, c, first, n, place = S.anchors(data, 32, 8)
+    a, c, e, first, n, place = S.anchors(data, 32, 8)
     assert n.sum() == 1000 - 32 + 1 and (np.diff(first) == n[:-1]).all()
 
 
@@ -73,3 +73,43 @@ def test_suffix_sort(parts):
         assert [(data[starts[i] : starts[i] + 6].tobytes(), i) for i in order[at]] == sorted(mine)
         keys = [x[0] for x in sorted(mine)]
         assert list(same[at]) == [i > 0 and keys[i] == keys[i - 1] for i in range(len(keys))]
+
+
+def test_one_id_with_several_texts(spark):
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = text(150)
+    docs = [(1, text(80) + shared), (1, shared + text(40)), (1, "short"), (-5, text(30) + shared + text(30)), (7, shared * 2), (1, "short"), (None, shared)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, place int, h int")
+    out = S.remove_repeats(df).collect()
+    hashes = {r.text: r.h64 for r in df.selectExpr("text", "xxhash64(cast(text as binary)) as h64").collect()}
+    order = sorted({d for d in docs if d[0] is not None}, key=lambda d: (d[0], hashes[d[1]]))
+    want = S.brute_force([(k, t.encode()) for k, (_, t) in enumerate(order)])
+    removed = sorted((i, want[order.index((i, t))][1] if i is not None else 0, len(t)) for i, t in docs if i is not None) + [(None, 0, 150)]
+    got = [(r.doc_id, r.n_removed, r.n_bytes) for r in out]
+    assert sorted(x for x in got if x[0] is not None) + [x for x in got if x[0] is None] == removed
+    assert sum(x[1] for x in removed if x[0] == 1) == 300 and S.without_repeats(df).columns == df.columns
+
+
+def test_contexts_that_share_a_string_are_partnered():
+    rng = np.random.default_rng(11)
+    letters = lambda n: bytes(rng.choice(list(b"abcd"), n))
+    block, place, texts = [], [], []
+    for _ in range(300):
+        p = int(rng.integers(0, 24))
+        left, right = letters(60), letters(60)
+        gram = b"GRAMGRAM"
+        mates = [(left[-int(rng.integers(0, 60)) or 60 :], right[: int(rng.integers(0, 60))]) for _ in range(3)]
+        for a, b in mates:
+            t = letters(24) + a + gram + b + letters(24)
+            block.append(len(block) // 3)
+            place.append(24 + len(a))
+            texts.append(t)
+    marked = S.partnered(np.array(block), np.array(place), texts, 32, 8)
+    for i in range(len(texts)):
+        for j in range(i):
+            if block[i] == block[j]:
+                own = {(x - place[i], texts[i][x : x + 32]) for x in range(place[i] - 24, place[i] + 1) if 0 <= x and x + 32 <= len(texts[i])}
+                its = {(x - place[j], texts[j][x : x + 32]) for x in range(place[j] - 24, place[j] + 1) if 0 <= x and x + 32 <= len(texts[j])}
+                assert not own & its or marked[i] and marked[j]
+    assert 0 < marked.sum() < len(texts)
