@@ -14,7 +14,7 @@ from . import adapters as A
 from .config import AttributeConfig, Config, QAConfig
 from .functions.scalar import depth_shade, haversine, image_name, rgb_to_bytes, tile_name
 from .functions.scoring import argmax_class, threshold_scorer
-from .operators import attributes, axis, camera, filters, ground, mapping, metadata, objects, qa, raster, road, tiling, trajectory
+from .operators import attributes, axis, camera, filters, ground, images, mapping, metadata, objects, qa, raster, road, tiling, trajectory
 from .plans.preprocess import Preprocess
 from .schema import named
 from .sources import readers
@@ -441,6 +441,13 @@ def camera_zbuffer(spark, sf_dir):
     return rounded(seen.select("pose_idx", "direction", "point_id", "px", "py", "depth"))
 
 
+@query(f"""SELECT pose_idx, direction, CAST(u AS BIGINT) AS px, CAST(v AS BIGINT) AS py, CAST(r AS INTEGER) AS red, CAST(g AS INTEGER) AS green, CAST(b AS INTEGER) AS blue FROM
+    (SELECT t.*, q.r, q.g, q.b, row_number() OVER (PARTITION BY pose_idx, direction, u, v ORDER BY depth, t.point_id) AS k FROM {SEEN} t JOIN p q ON t.point_id = q.point_id) z WHERE k = 1""")
+def view_colours(spark, sf_dir):
+    seen = images.view_colours(camera.views_along_axis(A.points(spark, sf_dir), A.road(spark)))
+    return seen.select("pose_idx", "direction", "px", "py", "red", "green", "blue")
+
+
 @query(f"""SELECT direction, count(*) AS views, count(*) FILTER (n >= 100) AS passed, count(*) FILTER (n < 100) AS failed, CAST(sum(n) AS BIGINT) AS points_sum, round(avg(n), 6) AS points_mean, min(n) AS points_min, max(n) AS points_max
     FROM (SELECT pose_idx, direction, count(*) AS n FROM (SELECT DISTINCT pose_idx, direction, u, v FROM {SEEN} t) x GROUP BY 1, 2) y GROUP BY direction""")
 def views_overview(spark, sf_dir):

@@ -105,6 +105,21 @@ def decode_npz(pairs: DataFrame, key: str = "image") -> DataFrame:
     return pairs.select("stem", "image").mapInPandas(run, "stem string, shape array<int>, values array<float>")
 
 
+def decode_masks(pairs: DataFrame) -> DataFrame:
+    """(stem, shape, labels) of the masks held in a column of PNG bytes, as whole numbers in row-major order."""
+
+    def run(batches):
+        import pandas as pd
+
+        from ..functions.png import decode
+
+        for pdf in batches:
+            rows = [(stem, a.shape, a.ravel().astype("int64")) for stem, a in zip(pdf["stem"], map(decode, pdf["mask"]))]
+            yield pd.DataFrame(rows, columns=["stem", "shape", "labels"])
+
+    return pairs.select("stem", "mask").mapInPandas(run, "stem string, shape array<int>, labels array<bigint>")
+
+
 def parse_boxes(lines: DataFrame, width: int, height: int) -> DataFrame:
     """Corner boxes from label lines (image_id, value): class and normalised centre and size; lines of other lengths go."""
     f = F.split(F.trim("value"), r"\s+")

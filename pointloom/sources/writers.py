@@ -48,6 +48,27 @@ def write_views(mapping: DataFrame, directory: str) -> None:
     mapping.write.mode("overwrite").partitionBy("pose_idx", "direction").parquet(directory)
 
 
+def save_files(images: DataFrame, directory: str) -> int:
+    """Write (name, png) rows as files below a folder that all executors mount; a task that runs twice writes the same. Returns their number."""
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+
+        os.makedirs(directory, exist_ok=True)
+        for pdf in batches:
+            for name, data in zip(pdf["name"], pdf["png"]):
+                path = os.path.join(directory, f"{name}.png")
+                with open(f"{path}.{os.getpid()}", "wb") as f:
+                    f.write(data)
+                os.replace(f.name, path)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    done = images.select("name", "png").mapInPandas(run, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_mapping(mapping: DataFrame, path: str) -> None:
     mapping.write.mode("overwrite").parquet(path)
 
