@@ -3,13 +3,12 @@
 A document's ids are cut every ``window`` ids, which leaves full pieces and one shorter tail. Only the
 histogram of piece lengths (at most ``window`` counts) reaches the driver. There, combinations of two and
 three lengths that fill a window exactly are the columns of a non-negative least squares problem whose
-solution says how often each is used (pairs are fitted before triples); it is rounded within the counts, and
-the lengths that are left are packed greedily. The plan is a bounded list of (combination, repeats). Pieces find their place by their
-rank among the pieces of equal length, which is counted in salted buckets, so that a length that
+solution says how often each is used; it is rounded within the counts. The plan is a bounded list of (combination, repeats).
+Pieces find their place by their rank among the pieces of equal length, which is counted in salted buckets, so that a length that
 very many pieces share is ranked by many tasks.
 
-The tails of one document in RESERVE, by a hash of the id, stay out of the plan. They form one stream, by length and
-rank, that is cut freely to fill the gaps of the planned sequences and then sequences of its own.
+What the plan leaves of a length are its last ranks. These residual tails are packed greedily, one after another, and cut where a
+sequence ends, so that only the last sequence has padding. Every tail takes part in the histogram.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +28,6 @@ from .common import bounded_batches, cut_lineage, table, tidy
 WINDOW = 1024
 #: Entries of the word cache of a Python worker.
 CACHE_WORDS = 250_000
-#: One document in so many keeps the ids of its tail, to be cut where gaps need it.
-RESERVE = 8
 #: Pieces that share a bucket of one length, about.
 BUCKET_ROWS = 20_000
 
@@ -106,15 +103,16 @@ class TextIds:
 
 
 def pieces(docs: DataFrame, tokenizer: tuple, window: int = WINDOW) -> DataFrame:
-    """The ids of each document and an id 0, cut every ``window``; reserved tails carry their ids.
+    """The ids of each document and an id 0, cut every ``window``; tails carry their ids, as they may be cut again.
 
-    Columns: doc_id, start, length, ids_crc32, doc_tokens, ids (null but for reserved tails).
+    Columns: doc_id, start, length, ids_crc32, doc_tokens, ids (compressed; null but for tails).
     """
     bounded_batches(docs.sparkSession)
     step = 4 * window
 
     def run(batches):
         ids_of = TextIds.get(*tokenizer).of
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             start, length, crc, own, total, kept = [], [], [], [], [], []
             for k, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
@@ -127,8 +125,8 @@ def pieces(docs: DataFrame, tokenizer: tuple, window: int = WINDOW) -> DataFrame
                     own.append(k)
                     total.append(len(ids) // 4)
                     kept.append(None)
-                if len(part) < step and zlib.crc32(b"%d" % (doc_id or 0)) % RESERVE == 1:
-                    kept[-1] = part
+                if len(part) < step:
+                    kept[-1] = squeeze(part)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(own, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total)), pa.array(kept, pa.binary())],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
@@ -155,11 +153,13 @@ def combinations(present: np.ndarray, window: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def solve_repeats(columns: np.ndarray, counts: np.ndarray, rounds: int = 400, batch: int = 256) -> np.ndarray:
-    """Non-negative x that brings the sum of x times each column near ``counts``, by greedy coordinate descent.
+def solve_repeats(columns: np.ndarray, counts: np.ndarray, batch: int = 256) -> np.ndarray:
+    """Non-negative x that brings the sum of x times each column nearest to ``counts``, by greedy coordinate descent.
 
-    Each round takes the columns of steepest descent and minimises exactly over one after another. The
-    columns taken stay few, so that rounding loses little. It ends when no column would gain half a repeat.
+    Each round takes the columns of steepest descent and minimises exactly over one after another, pairs before all columns: triples
+    would use up the short lengths. Every step lowers the sum of squares, so it ends, and it ends where no column
+    would change by half a repeat: what is left of the optimality conditions is less than rounding can see. The
+    columns taken stay few, so that rounding loses little.
     """
     x = np.zeros(len(columns))
     left = counts.astype(float).copy()
@@ -168,11 +168,10 @@ def solve_repeats(columns: np.ndarray, counts: np.ndarray, rounds: int = 400, ba
         return x
     twice = (columns[:, 0] == columns[:, 1]).astype(int) + ((columns[:, 1] == columns[:, 2]) & (columns[:, 1] > 0))
     norm = np.where(columns[:, 2] == 0, 2, 3) + np.array([0, 2, 6])[twice]
-    shallow = columns[:, 2] == 0
-    for taken in (shallow, np.ones(len(columns), bool)):  # pairs first: triples would use up the short lengths
-        for _ in range(rounds):
-            gain = left[columns].sum(axis=1) / norm
-            gain = np.where((gain < 0) & (x <= 0) | ~taken, 0, gain)
+    for taken in (columns[:, 2] == 0, np.ones(len(columns), bool)):
+        while True:
+            gain = descent(columns, left, norm, x)
+            gain[~taken] = 0
             top = np.argpartition(-np.abs(gain), min(batch, len(gain)) - 1)[:batch]
             top = top[np.argsort(-np.abs(gain[top]), kind="stable")]
             if abs(gain[top[0]]) < 0.5:
@@ -187,40 +186,41 @@ def solve_repeats(columns: np.ndarray, counts: np.ndarray, rounds: int = 400, ba
     return x
 
 
-def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, repeats) that use every piece of the histogram ``counts`` exactly once."""
+def descent(columns: np.ndarray, left: np.ndarray, norm: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """How far each column alone would move to its minimum, kept non-negative; all zero at the optimum."""
+    return np.maximum(left[columns].sum(axis=1) / norm, -x)
+
+
+def plan(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(lengths that fill a sequence, repeats), and the counts of the histogram that they leave.
+
+    Repeats are rounded from the largest on, each to one at least and to what the counts still hold. What rounding
+    leaves is solved anew as a smaller histogram, until it holds no combination of the solution, and then of any.
+    """
     left = counts.astype(np.int64).copy()
-    out = []
-    if left[window]:
-        out.append(((window,), int(left[window])))
-        left[window] = 0
-    columns = combinations(np.flatnonzero(left[:window]), window)
-    x = solve_repeats(columns, left)
-    for j in np.argsort(-x, kind="stable"):
-        want = int(round(x[j]))
-        if want < 1:
-            break
-        parts = [p for p in columns[j].tolist() if p]
+    repeats: dict[tuple[int, ...], int] = {}
+
+    def take(column: np.ndarray, want: int) -> int:
+        parts = tuple(p for p in column.tolist() if p)
         n = min(want, *(int(left[p]) // parts.count(p) for p in parts))
         if n:
-            out.append((tuple(parts), n))
+            repeats[parts] = repeats.get(parts, 0) + n
             for p in parts:
                 left[p] -= n
-    while left.any():  # what is left: the longest first, then the longest that still fits
-        use: list[int] = []
-        space = window
-        while space:
-            fits = np.flatnonzero(left[1 : space + 1] > 0) + 1
-            fits = fits[[left[f] > use.count(f) for f in fits.tolist()]] if len(use) else fits
-            if not len(fits):
-                break
-            use.append(int(fits[-1]))
-            space -= use[-1]
-        n = min(int(left[p]) // use.count(p) for p in use)
-        out.append((tuple(use), n))
-        for p in use:
-            left[p] -= n
-    return out
+        return n
+
+    if left[window]:
+        repeats[(window,)] = int(left[window])
+        left[window] = 0
+    columns = combinations(np.flatnonzero(left[:window]), window)
+    placed = 1
+    while placed and len(columns):
+        x = solve_repeats(columns, left)
+        placed = sum(take(columns[j], max(1, round(x[j]))) for j in np.argsort(-x, kind="stable")[: np.count_nonzero(x)].tolist())
+        columns = columns[(left[columns] > 0)[:, :2].all(axis=1) & ((left[columns[:, 2]] > 0) | (columns[:, 2] == 0))]
+    for j in range(len(columns)):
+        take(columns[j], int(left.max()))
+    return list(repeats.items()), left
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]], window: int = WINDOW):
@@ -238,32 +238,13 @@ def slots(planned: list[tuple[tuple[int, ...], int]], window: int = WINDOW):
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
-def gaps(planned: list[tuple[tuple[int, ...], int]], window: int = WINDOW) -> np.ndarray:
-    """Runs of equal gaps, widest first: place in the stream that fills them, first sequence, offset, size of each.
-
-    The last run is that of new sequences, without end.
-    """
-    rows, base = [], 0
-    for parts, n in planned:
-        if sum(parts) < window:
-            rows.append((window - sum(parts), base, sum(parts), n))
-        base += n
-    out, at = [], 0
-    for size, first, offset, n in sorted(rows, key=lambda r: (-r[0], r[1])):
-        out.append((at, first, offset, size))
-        at += size * n
-    out.append((at, base, 0, window))
-    return np.array(out, np.int64)
-
-
-def cut_stream(at: int, length: int, runs: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(start, length, sequence, offset) of the parts that a tail at a place of the stream falls into."""
+def cut_stream(at: int, length: int, base: int, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """(start, length, sequence, offset) of the parts that a tail at a place of the residual stream falls into."""
     out, done = [], 0
     while done < length:
-        begin, first, offset, size = runs[np.searchsorted(runs[:, 0], at + done, "right") - 1].tolist()
-        nth, within = divmod(at + done - begin, size)
-        n = min(size - within, length - done)
-        out.append((done, n, first + nth, offset + within))
+        nth, offset = divmod(at + done, window)
+        n = min(window - offset, length - done)
+        out.append((done, n, base + nth, offset))
         done += n
     return out
 
@@ -272,47 +253,46 @@ def pack(docs: DataFrame, tokenizer: tuple, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is the single id 0. Rows that repeat a doc_id are packed each on its own;
-    a null doc_id is kept as null. Pieces of equal length are ranked by doc_id and start.
+    a null doc_id is kept as null. Pieces of equal length are ranked by a hash, doc_id and start.
     Other columns of ``docs`` are not read. An empty table gives no row.
     """
-    cut = cut_lineage(pieces(docs, tokenizer, window)).withColumn("reserve", F.col("ids").isNotNull())
-    total = cut.count()
-    buckets = 1 + total // BUCKET_ROWS
+    cut = cut_lineage(pieces(docs, tokenizer, window))
+    buckets = 1 + cut.count() // BUCKET_ROWS
     salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
-    kind = ["reserve", "length"]
-    counts = salted.groupBy(*kind, "bucket").agg(F.count("*").alias("n"))
-    histogram = np.zeros((2, window + 1), np.int64)
-    for r in counts.groupBy(*kind).agg(F.sum("n").alias("n")).collect():  # at most two rows for each length
-        histogram[int(r["reserve"]), r["length"]] = r["n"]
-    planned = plan(histogram[0], window)
-    place, runs = slots(planned, window), gaps(planned, window)
-    stream = np.concatenate(([0], np.cumsum(histogram[1] * np.arange(window + 1))))  # where each length begins
-    before = Window.partitionBy(*kind).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    rank = Window.partitionBy(*kind, "bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = salted.withColumn("rank", F.row_number().over(rank) - 1).join(base, [*kind, "bucket"])
+    counts = salted.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    histogram = np.zeros(window + 1, np.int64)
+    for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most a row for each length
+        histogram[r["length"]] = r["n"]
+    planned, left = plan(histogram, window)
+    place, base = slots(planned, window), sum(n for _, n in planned)
+    stream = np.concatenate(([0], np.cumsum(left * np.arange(window + 1))))  # where the residual tails of each length begin
+    used = histogram - left
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    rank = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    ranked = salted.withColumn("rank", F.row_number().over(rank) - 1).join(first, ["length", "bucket"])
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = [*columns, "sequence_id", "offset"]
 
     def settle(batches):
+        expand = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            whole = b.filter(pa.compute.is_null(b.column(6)))
+            length, rank = b.column(2).to_numpy(), b.column(5).to_numpy()
+            fits = rank < used[length]
+            whole = b.filter(pa.array(fits))
             if len(whole):
-                length, rank = whole.column(2).to_numpy(), whole.column(5).to_numpy()
-                at = np.searchsorted(place[:, 0], (length << 48) + rank, "right") - 1
-                sequence = place[at, 2] + rank - place[at, 1]
-                yield pa.RecordBatch.from_arrays(
-                    [*whole.columns[:5], pa.array(sequence), pa.array(place[at, 3])], [*columns, "sequence_id", "offset"]
-                )
+                at = np.searchsorted(place[:, 0], (length[fits] << 48) + rank[fits], "right") - 1
+                sequence = place[at, 2] + rank[fits] - place[at, 1]
+                yield pa.RecordBatch.from_arrays([*whole.columns[:5], pa.array(sequence), pa.array(place[at, 3])], names)
             rows = []
-            for doc_id, start, length, _, tokens, rank, ids in zip(*(c.to_pylist() for c in b.filter(pa.compute.is_valid(b.column(6))).columns)):
-                for s, n, sequence, offset in cut_stream(int(stream[length]) + rank * length, length, runs):
-                    rows.append((doc_id, start + s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), tokens, sequence, offset))
+            for doc_id, start, n, _, tokens, r, ids in zip(*(c.to_pylist() for c in b.filter(pa.array(~fits)).columns)):
+                data = expand(ids)
+                for s, k, sequence, offset in cut_stream(int(stream[n]) + (r - int(used[n])) * n, n, base, window):
+                    rows.append((doc_id, start + s, k, zlib.crc32(data[4 * s : 4 * (s + k)]), tokens, sequence, offset))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [*columns, "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names)
 
-    return ranked.select(*columns, (F.col("base") + F.col("rank")).cast("long").alias("at"), "ids").mapInArrow(
-        tidy(settle), ", ".join(f"{c} long" for c in [*columns, "sequence_id", "offset"])
-    )
+    return ranked.select(*columns, (F.col("first") + F.col("rank")).cast("long").alias("at"), "ids").mapInArrow(tidy(settle), ", ".join(f"{c} long" for c in names))
 
 
 def public_tokenizer() -> tuple:
