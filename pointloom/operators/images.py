@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import depth_shade, rgb_to_bytes
@@ -44,6 +44,20 @@ def raster_images(raster: DataFrame, pixels: int, colours: bool = True, intensit
     return png(raster_colours(raster, colours, intensity), ["scan_id", "tile_ix", "tile_iy"], pixels, pixels)
 
 
+def tile_panels(raster: DataFrame, pixels: int) -> DataFrame:
+    """(scan_id, tile_ix, tile_iy, png): height, intensity, density and colours of each tile, as four pictures in a square."""
+    keys = ["scan_id", "tile_ix", "tile_iy"]
+    top = Window.partitionBy(*keys)
+    shown = display_stretch(raster).withColumn("density_gray", (F.col("density") / F.max("density").over(top) * 255).cast("int"))
+    greys = [[F.col(f"{c}_gray")] * 3 for c in ("z", "intensity", "density")]
+    panels = [*greys, [F.col(f"{c}_gray") for c in RGB]]
+    cells = [
+        F.struct((F.col("px") + k % 2 * pixels).alias("px"), (F.col("py") + k // 2 * pixels).alias("py"), *[c.alias(n) for c, n in zip(panel, ("red", "green", "blue"))])
+        for k, panel in enumerate(panels)
+    ]
+    return png(shown.select(*keys, F.explode(F.array(*cells)).alias("cell")).select(*keys, "cell.*"), keys, 2 * pixels, 2 * pixels)
+
+
 def view_colours(mapping: DataFrame) -> DataFrame:
     """Pixels of views with red, green, blue: the point's colours, or greys by depth where it has none."""
     grey = depth_shade(F.col("depth"))

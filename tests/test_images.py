@@ -53,6 +53,10 @@ def test_raster_and_view_images(spark, tmp_path):
     assert all(tuple(pixels[r.py, r.px]) == (r.r_gray, r.g_gray, r.b_gray) for r in shown)
     plain = png.decode(bytes(images.raster_images(six, 50, colours=False).where((F.col("tile_ix") == one.tile_ix) & (F.col("tile_iy") == one.tile_iy)).first().png))
     assert all(tuple(plain[r.py, r.px]) == (r.z_gray, r.intensity_gray, r.z_gray) for r in shown)
+    four = images.tile_panels(six, 50).where((F.col("tile_ix") == one.tile_ix) & (F.col("tile_iy") == one.tile_iy)).first()
+    square = png.decode(bytes(four.png))
+    assert square.shape == (100, 100, 3) and (square[50:, 50:] == pixels).all() and square[50:, :50].max() == 255
+    assert all(square[r.py, r.px, 0] == r.z_gray and square[r.py, 50 + r.px, 1] == r.intensity_gray for r in shown)
     axis = spark.createDataFrame([(0, 0, 100_000.0, 450_050.0), (0, 1, 100_100.0, 450_050.0)], "axis_id long, seq long, x double, y double")
     mapping = camera.views_along_axis(points.drop("r", "g", "b"), axis, width=64, height=48, step=50.0).persist()
     views = images.view_images(mapping, 64, 48).select(F.format_string("v%d_%s", "pose_idx", "direction").alias("name"), "png")
