@@ -508,9 +508,27 @@ def sign_moments(spark, sf_dir):
     return rounded(m, cx=3, cy=3, cz=3)
 
 
-@query()
+_NORMAL = """(SELECT *, sqrt(ux * ux + uy * uy + uz * uz) AS nu, sqrt(vx * vx + vy * vy + vz * vz) AS nv, sqrt(wx * wx + wy * wy + wz * wz) AS nw FROM
+    (SELECT *, xy * yz - xz * b AS ux, xz * xy - a * yz AS uy, a * b - xy * xy AS uz, xy * c - xz * yz AS vx, xz * xz - a * c AS vy, a * yz - xy * xz AS vz,
+    b * c - yz * yz AS wx, yz * xz - xy * c AS wy, xy * yz - b * xz AS wz FROM
+    (SELECT *, xx - l AS a, yy - l AS b, zz - l AS c FROM (SELECT *, q + 2 * p * cos(acos(greatest(-1.0, least(1.0, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz)
+    + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p)))) / 3 + 2 * pi() / 3) AS l FROM
+    (SELECT *, (xx + yy + zz) / 3 AS q, sqrt((pow(xx - (xx + yy + zz) / 3, 2) + pow(yy - (xx + yy + zz) / 3, 2) + pow(zz - (xx + yy + zz) / 3, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM
+    (SELECT cluster_id, min(mx) AS cx, min(my) AS cy, min(mz) AS cz, min(z) AS height, covar_samp(x, x) AS xx, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, y) AS yy,
+    covar_samp(y, z) AS yz, covar_samp(z, z) AS zz FROM (SELECT *, avg(x) OVER w AS mx, avg(y) OVER w AS my, avg(z) OVER w AS mz FROM c WHERE kind = 3 WINDOW w AS (PARTITION BY cluster_id)) m
+    GROUP BY cluster_id HAVING count(*) >= 5) s1) s2) s3) s4) s5)"""
+
+
+def _component(k: str) -> str:
+    pick = f"CASE WHEN nu >= nv AND nu >= nw THEN u{k} / nu WHEN nv >= nw THEN v{k} / nv ELSE w{k} / nw END"
+    return f"{pick} AS n{k}"
+
+
+@query(f"""SELECT cluster_id, round(cx, 3) AS cx, round(cy, 3) AS cy, round(cz, 3) AS cz, round(nx * g, 4) + 0.0::DOUBLE AS nx, round(ny * g, 4) + 0.0::DOUBLE AS ny, round(nz * g, 4) + 0.0::DOUBLE AS nz, round(height, 6) AS height
+    FROM (SELECT *, CASE WHEN abs(nx) > 1e-9 THEN sign(nx) WHEN abs(ny) > 1e-9 THEN sign(ny) ELSE sign(nz) END AS g FROM
+    (SELECT *, {', '.join(map(_component, 'xyz'))} FROM {_NORMAL} a) b) d""")
 def sign_normals(spark, sf_dir):
-    return rounded(objects.extract_signs(A.clusters(spark, sf_dir).where("kind = 3")), 6)
+    return rounded(objects.extract_signs(A.clusters(spark, sf_dir).where("kind = 3")), 4, cx=3, cy=3, cz=3, height=6)
 
 
 # --- road model ---------------------------------------------------------------------------------------
