@@ -5,7 +5,9 @@ sidebars, notices, adverts, forms, comments and scripts is left out. Text length
 of the lines that hold text, on every page: where a window surges over the threshold the main text begins, where the next
 window holds nothing it dives and ends. Lines of links have no length, and furniture with text is a
 gap as wide as a window. The text between the first surge and the last dive is kept where no furniture
-separates them; so is what else stands in an article, main or other element that holds kept text.
+separates them, with the lines that lead up to it; so is what else stands in an article, main or other element that holds
+kept text. Furniture is told by its tag, its role and the words of its class names and ids; words that may stand in
+other names too count only beside plain words.
 """
 
 from __future__ import annotations
@@ -36,11 +38,23 @@ ARTICLE = frozenset(("article", "main"))
 BOXES = frozenset("article blockquote center div main section td".split())
 OUT = frozenset("nav footer aside form dialog menu button fieldset label datalist".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
+#: Words of class names and ids that name furniture wherever they stand.
 OUT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion promoted sidebar aside comment comments "
-    "commentlist disqus discussion replies reply respond responses trackback pingback feedback cookie cookies consent gdpr newsletter subscribe subscription share sharing social "
-    "related recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation popup modal overlay banner notice notification "
-    "alert widget pagination pager masthead login signup signin register search toolbar footer copyright".split()
+    "commentlist disqus trackback pingback cookie cookies gdpr newsletter subscribe "
+    "recommended recommendations breadcrumb breadcrumbs menu nav navbar navigation popup modal "
+    "pagination pager masthead login signup signin toolbar footer copyright".split()
+)
+#: Words that name furniture only in a name of such and plain words: a share bar is some, a share price is not.
+OUT_AMONG_PLAIN = frozenset(
+    "share sharing social discussion replies reply respond response responses feedback consent subscription related overlay banner "
+    "notice notification alert widget register search".split()
+)
+PLAIN = frozenset(
+    "article articles area bar block blocks bottom box btn button buttons center col column container content count entry field fixed form "
+    "global group header heading icon icons inline inner item items js large left link links list lists main media message module more news outer page "
+    "panel post posts primary right row secondary section site slot small sticky stories story strip tag tags text thread title tools top unit "
+    "wide wrap wrapper".split()
 )
 #: Words that end so are furniture too, as in topnav or pagefooter.
 _OUT_END = re.compile(r"(?:nav|navbar|menu|sidebar|footer|comments?|cookies?|adverts?|banner|popup)$")
@@ -48,7 +62,7 @@ OUT_PAGE = frozenset("header head topbar top bottom foot".split())
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _RAW = re.compile(
-    r"<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|audio|video|canvas)\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)",
+    r"<(script|style|template|iframe|textarea|select|title|audio|video|canvas)\b[^>]*?(?<!/)>.*?(?:</\1\s*>|\Z)",
     re.S | re.I,
 )
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z!?/][^<>]*\Z|<(/?)([a-zA-Z][^\s/>"']*)([^>]*)>""")
@@ -56,9 +70,18 @@ _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*
 _WORD = re.compile(r"[a-z]+")
 
 
+def _names_furniture(words: list[str], in_article: bool) -> bool:
+    """Whether the words of one class name or id name page furniture."""
+    if any(w in OUT_NAMES or _OUT_END.search(w) for w in words):
+        return True
+    if not in_article and any(w in OUT_PAGE for w in words) and all(w in OUT_PAGE or w in PLAIN for w in words):
+        return True
+    return any(w in OUT_AMONG_PLAIN for w in words) and all(w in OUT_AMONG_PLAIN or w in PLAIN for w in words)
+
+
 def _noise(tag: str, attrs: str, in_article: bool) -> bool:
     """Whether an element is page furniture, by its tag, role or names."""
-    if tag in OUT or tag == "header" and not in_article:
+    if tag in OUT or tag in ("header", "noscript") and not in_article:
         return True
     if not attrs or tag in ("html", "body"):
         return False
@@ -71,8 +94,7 @@ def _noise(tag: str, attrs: str, in_article: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
         if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & OUT_NAMES or any(map(_OUT_END.search, words)) or not in_article and words & OUT_PAGE:
+            if any(_names_furniture(_WORD.findall(x), in_article) for x in value.split()):
                 return True
     return False
 
@@ -213,6 +235,8 @@ def _main(rows: list[tuple[str | None, int, int, int]], parents: list[int]) -> l
         a, b = line[a], line[b - 1] + 1
         if last is not None and all(t is not None for t, *_ in rows[last:a]):
             a = last
+        while a > (last or 0) and rows[a - 1][0] is not None and not linked[a - 1] and not rows[a - 1][3] and not rows[a][3]:
+            a -= 1  # a heading and short lines that lead up to the surge, in no element of their own
         keep[a:b] = [True] * (b - a)
         last = b
     articles = {x for k, (_, _, x, _) in zip(keep, rows) if k} - {0}
