@@ -16,18 +16,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, cut_lineage, table
+from .common import WORD_REGEX, cut_lineage, table, unused
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 BUCKETS = 4096
-SYMBOLS = "#*$%&|<>"
+#: What texts of low quality have more of: its signs, the share of the text above which they count, and their weight.
+SIGNS = (("#*$%&|<>", 0.0, 4.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ!", 0.15, 2.0), ("0123456789", 0.1, 1.0))
+LEAST_QUALITY = 0.25
 
 
 def quality(text: Column) -> Column:
-    """Weight of a document, 0.5 to 1: the less of its text is markup symbols, the likelier it is drawn early."""
+    """Weight of a document, LEAST_QUALITY to 1: the fewer markup symbols, capitals and digits, the likelier it is drawn early."""
     size = F.greatest(F.length(text), F.lit(1))
-    return F.lit(1.0) - F.least(F.lit(0.5), (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) * 4.0 / size)
+    excess = [(F.length(text) - F.length(F.translate(text, signs, ""))) / size - least for signs, least, _ in SIGNS]
+    parts = [F.greatest(F.lit(0.0), e) * weight for e, (_, _, weight) in zip(excess, SIGNS)]
+    return F.lit(1.0) - F.least(F.lit(1.0 - LEAST_QUALITY), parts[0] + parts[1] + parts[2])
 
 
 def uniform(doc_id: Column) -> Column:
@@ -39,7 +43,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: i
     """(source, source_size, target) from ``sizes(source, source_size)``; one row per source.
 
     Sources at their cap are those with the smallest cap per weight, so the water level is found in one
-    ordered pass over the sources. Sources are ordered by code point, null last; weights repeat.
+    ordered pass over the sources. Sources are ordered by code point, null last; weights repeat. That pass is one task, which
+    holds a few numbers for each source: a million sources are some tens of megabytes.
     """
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (nth % len(weights) + 1).cast("int"))
@@ -125,22 +130,22 @@ def drawn(docs: DataFrame, **params) -> DataFrame:
 
     Rows equal in doc_id, source and text are one row that is taken as often as they are together.
     """
+    own_id, own_source, own_tie, own_taken, own_size, own, n = unused(docs, "id", "of", "tie", "taken", "size", "own", "n")
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    taken = mix(docs, keys=True, **params).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("tie").alias("_tie"))
-    taken = taken.agg(F.sum("taken").cast("long").alias("_taken"), F.max("size").cast("long").alias("_size")).where("_taken > 0")
-    rows = docs.withColumn("_own", tie).dropDuplicates(["doc_id", "source", "_own"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_tie"))
-    both = rows.join(taken, same)
-    rest = F.expr("_taken % _size")
+    each = mix(docs, keys=True, **params).groupBy(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("tie").alias(own_tie))
+    taken = each.agg(F.sum("taken").cast("long").alias(own_taken), F.max("size").cast("long").alias(own_size)).where(F.col(own_taken) > 0)
+    rows = docs.withColumn(own, tie).dropDuplicates(["doc_id", "source", own])
+    same = F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.col(own) == F.col(own_tie))
+    rest = F.col(own_taken) % F.col(own_size)
     times = F.concat(
-        F.array_repeat(F.col("_size"), F.expr("cast(_taken div _size as int)")),
+        F.array_repeat(F.col(own_size), F.floor(F.col(own_taken) / F.col(own_size)).cast("int")),
         F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")),
     )
-    each = both.withColumn("_n", F.explode(times))
-    whole = F.col("_n") == F.col("_size")
-    text = F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col("_n").cast("int")))
+    drawn_rows = rows.join(taken, same).withColumn(n, F.explode(times))
+    whole = F.col(n) == F.col(own_size)
+    text = F.when(whole, F.col("text")).otherwise(first_words(F.col("text"), F.col(n).cast("int")))
     new = {"text": text.alias("text"), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars")}
-    return each.select(*[new.get(c, F.col(c)) for c in docs.columns])
+    return drawn_rows.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
@@ -155,7 +160,9 @@ WITH d AS (
 k AS (
   SELECT doc_id, source, size,
          -ln((CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0)
-         / (1.0 - least(0.5, (length(text) - length(translate(text, '#*$%&|<>', ''))) * 4.0::DOUBLE / greatest(length(text), 1))) AS key
+         / (1.0::DOUBLE - least(0.75::DOUBLE, greatest(0.0::DOUBLE, (length(text) - length(translate(text, '#*$%&|<>', ''))) / greatest(length(text), 1)::DOUBLE - 0.0::DOUBLE) * 4.0::DOUBLE
+            + greatest(0.0::DOUBLE, (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!', ''))) / greatest(length(text), 1)::DOUBLE - 0.15::DOUBLE) * 2.0::DOUBLE
+            + greatest(0.0::DOUBLE, (length(text) - length(translate(text, '0123456789', ''))) / greatest(length(text), 1)::DOUBLE - 0.1::DOUBLE) * 1.0::DOUBLE)) AS key
   FROM d),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 w AS (

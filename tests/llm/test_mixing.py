@@ -52,3 +52,19 @@ def test_plan_is_native(spark):
     plan = M.mix(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
     assert math.isclose(M.mix(df).first().taken, 2)
+
+
+def test_drawn_keeps_columns_of_any_name(spark):
+    names = ["id", "of", "tie", "taken", "size", "own", "n", "_n", "_id", "_SIZE"]
+    docs = [(i, "w " * (5 + i), f"s{i % 2}", 9, *[i * 10 + k for k in range(len(names))]) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} int" for c in names))
+    out = M.drawn(df)
+    assert out.columns == df.columns and out.count() > 0
+    assert all([r[c] for c in names] == [r.doc_id * 10 + k for k in range(len(names))] for r in out.collect())
+
+
+def test_quality_weight(spark):
+    texts = ["plain words of a text " * 9, "#$% && word|" * 9, "SHOUTING! ALL! DAY! " * 9, "12345 67890 " * 9, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    q = [r.q for r in df.orderBy("i").select(M.quality(df.text).alias("q")).collect()]
+    assert q[0] == q[4] == 1 and q[1] == q[2] == M.LEAST_QUALITY and M.LEAST_QUALITY <= q[3] < 0.5
