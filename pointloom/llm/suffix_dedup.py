@@ -8,15 +8,15 @@ doc_id, or the same document further left). The work is done in four steps.
    at equal places, so only strings below one anchor need comparing. All starts that share an
    anchor form its context: the bytes from the first start to the end of the last string.
 2. Equal contexts are settled by order alone: all but the first are removed. Each task does so for its own rows
-   before the shuffle. Contexts are equal here when their 128-bit digests are, beside the anchor's 64 bits; their bytes are
+   before the shuffle. Contexts are equal here when 96 bits of their digests are, beside the anchor's 64 bits; their bytes are
    not compared again.
 3. Different contexts below one anchor are compared as suffixes: a mergesort whose comparisons find
    the common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
    that agree on ``length`` bytes are one class, verified byte by byte; all but the earliest of a
    class are removed. An anchor with very many contexts is cut into blocks; what survives in
    its blocks is settled by the smallest start per class, a 128-bit digest of its bytes. A string that two contexts
-   share reaches ``(length - gram) / 2`` bytes beyond the anchor on one side, so contexts that agree with no other one so far
-   on either side are not sorted.
+   share has ``length - gram`` bytes beside the anchor, and both contexts agree on those to its left and to its right; suffixes
+   of which a context agrees with no other one that far on either side are not sorted.
 4. The removed spans of a document are joined, and its remaining bytes are what is kept.
 """
 
@@ -63,7 +63,7 @@ def digests(parts) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """For each anchor of the text: (hash, both halves of the context's digest, first start, number of starts, gram's place from there).
+    """For each anchor of the text: (hash, 64 and 32 bits of the context's digest, first start, number of starts, gram's place from there).
 
     Longer texts go through in chunks that overlap; a context cut at a chunk's end differs from whole
     ones with the same anchor and so is compared with them.
@@ -98,7 +98,7 @@ def _anchors(data: np.ndarray, offset: int, length: int, gram: int):
     context = digests(view[x:y] for x, y in zip(first.tolist(), ends))
     anchor = np.fromiter((digest(view[x : x + gram]) for x in place.tolist()), np.uint64, len(first))
     place = place - first
-    return anchor, context[:, 0] ^ mix((place * 131 + count).astype(np.uint64)), context[:, 1], first + offset, count, place
+    return anchor, context[:, 0] ^ mix((place * 131 + count).astype(np.uint64)), context[:, 1] >> np.uint64(32), first + offset, count, place
 
 
 # --- the hash-compared suffix sort ------------------------------------------------------------
@@ -186,9 +186,6 @@ def suffix_sort(data: np.ndarray, starts: np.ndarray, group: np.ndarray, limit:
 
 # --- steps on DataFrames ------------------------------------------------------------------------
 
-_ANCHOR = "a long, c long, e long, doc_id long, start int, n int, place int"
-
-
 def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
@@ -201,8 +198,19 @@ def _record(names: str, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(made, [x.split()[0] for x in names.split(", ")])
 
 
-#: What the first step tells: an anchor (kind 0), or a span that is removed already (kind 1: start and n are its ends).
-_FOUND = _ANCHOR + ", kind int"
+#: What the first step tells, packed, as these are the most rows: an anchor (kind 0) with its start, number of starts and place,
+#: or a span that is removed already (kind 1) with its ends.
+_FOUND = "a long, c long, kind_e long, doc_id long, where long"
+
+
+def _pack(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return (high.astype(np.int64) << 32) | low.astype(np.int64)
+
+
+def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return packed >> 32, packed & 0xFFFFFFFF
+
+
 #: Anchors that a task gathers before it settles equal contexts among them.
 _GATHER = 120_000
 
@@ -218,6 +226,8 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 def _find(length: int, gram: int):
     """Anchors of each text; of equal contexts that meet in a task only the first goes on."""
+    if length >= 1 << 16:
+        raise ValueError("strings of less than 65,536 bytes are looked for")
 
     def settle(parts):
         a, c, e, d, s, n, p = (np.concatenate(x) for x in zip(*parts))
@@ -228,13 +238,9 @@ def _find(length: int, gram: int):
         gone = row & ~go
         doc, lo, hi = merge_spans(d[gone], s[gone], s[gone] + n[gone] + length - 1)
         zero = np.zeros(len(lo), np.int64)
-        mark = np.concatenate((np.zeros(go.sum(), np.int32), np.ones(len(lo), np.int32)))
-        return _record(
-            _FOUND,
-            *(np.concatenate((x[go].view(np.int64), zero)) for x in (a, c, e)),
-            *(np.concatenate(x) for x in ((d[go], doc), (s[go], lo), (n[go], hi), (p[go], zero))),
-            mark,
-        )
+        anchor = (a[go].view(np.int64), c[go].view(np.int64), e[go].astype(np.int64), d[go], _pack(s[go], (n[go] << 16) | p[go]))
+        span = (zero, zero, _pack(zero + 1, zero), doc, _pack(lo, hi))
+        return _record(_FOUND, *(np.concatenate(x) for x in zip(anchor, span)))
 
     def run(batches):
         parts: list[tuple] = []
@@ -259,7 +265,7 @@ _GROUPED = "doc_id long, start int, n int, place int, lo int, hi int, block long
 
 
 def _group(length: int, block_contexts: int):
-    """Rows sorted by (kind, a, c, e, doc_id, start): spans of repeated contexts, and the contexts that must be compared.
+    """Rows of _FOUND sorted by (a, c, kind_e, doc_id, where): spans of repeated contexts, and the contexts that must be compared.
 
     At most ``block_contexts`` rows are held: an anchor's contexts are told once it has a second one,
     and go out in blocks, marked hot, as soon as they are more than that.
@@ -279,12 +285,15 @@ def _group(length: int, block_contexts: int):
             if not len(cols[0]):
                 continue
             out = []
-            done = cols[7] == 1
+            a, c, e, d = cols[:4]
+            s, low = _unpack(cols[4])
+            n, p = low >> 16, low & 0xFFFF
+            done = e >> 32 == 1
             if done.any():
-                d, lo, hi = cols[3][done], cols[4][done], cols[5][done]
-                zero = np.zeros(len(d), np.int64)
-                out.append((d, lo, hi, zero, lo, hi, zero, zero.astype(bool)))
-            a, c, e, d, s, n, p = (x[~done] for x in cols[:7])
+                gone, lo, hi = d[done], s[done], low[done]
+                zero = np.zeros(len(lo), np.int64)
+                out.append((gone, lo, hi, zero, lo, hi, zero, zero.astype(bool)))
+            a, c, e, d, s, n, p = (x[~done] for x in (a, c, e, d, s, n, p))
             if len(a):
                 new_c, new_row = _first_of(a, c, e), _first_of(a, c, e, d, s)
                 if last is not None:
@@ -328,23 +337,29 @@ _CONTEXT = "block long, doc_id long, start int, n int, place int, hot boolean, b
 _JUDGED = "doc_id long, lo int, hi int, k1 long, k2 long"
 
 
-def partnered(block: np.ndarray, place: np.ndarray, texts: list[bytes], length: int, gram: int) -> np.ndarray:
-    """Marks the contexts that agree with another one of their block to one side of the anchor so far as a common string must."""
-    half = (length - gram + 1) // 2
-    out = np.zeros(len(texts), bool)
-    digest = xxhash.xxh64_intdigest
-    for side in (0, 1):
-        pieces = (t[p : p + gram + half] if side else t[max(0, p - half) : p + gram] for t, p in zip(texts, place.tolist()))
-        whole = np.zeros(len(texts), bool)
-        h = np.zeros(len(texts), np.uint64)
-        for k, x in enumerate(pieces):
-            if len(x) == gram + half:
-                whole[k], h[k] = True, digest(x)
-        at = np.flatnonzero(whole)
-        order = at[np.lexsort((h[at], block[at]))]
-        same = (block[order][1:] == block[order][:-1]) & (h[order][1:] == h[order][:-1])
-        out[order[1:][same]] = True
-        out[order[:-1][same]] = True
+def reaches(block: np.ndarray, place: np.ndarray, texts: list[bytes], length: int, gram: int, step: int = 13) -> list[np.ndarray]:
+    """Bytes to the left and to the right of the anchor that each context at most shares with another one of its block.
+
+    They are told in steps, by hashes of ever longer pieces; a context that agrees with no other one on a piece goes no further.
+    """
+    digest, most = xxhash.xxh64_intdigest, length - gram
+    out = []
+    for right in (False, True):
+        bound = np.full(len(texts), most)
+        on = np.arange(len(texts))
+        for level in [*range(step, most, step), most]:
+            pieces = [texts[k][p : p + gram + level] if right else texts[k][max(0, p - level) : p + gram] for k, p in zip(on.tolist(), place[on].tolist())]
+            whole = np.fromiter((len(x) == gram + level for x in pieces), bool, len(pieces))
+            h = np.fromiter((digest(x) for x in pieces), np.uint64, len(pieces))
+            at = np.flatnonzero(whole)
+            order = at[np.lexsort((h[at], block[on[at]]))]
+            same = (block[on[order]][1:] == block[on[order]][:-1]) & (h[order][1:] == h[order][:-1])
+            agree = np.zeros(len(on), bool)
+            agree[order[1:][same]] = True
+            agree[order[:-1][same]] = True
+            bound[on[~agree]] = level - 1
+            on = on[agree]
+        out.append(bound)
     return out
 
 
@@ -352,16 +367,19 @@ def _compare(length: int, gram: int):
     """Rows of _CONTEXT sorted by block: the spans removed, and the classes of hot anchors that must still be settled."""
 
     def judge(rows):
-        go = partnered(rows[0], rows[4], rows[6].tolist(), length, gram) | rows[5].astype(bool)
-        block, d, s, n, p, hot, texts = (x[go] for x in rows)
-        if not len(texts):
-            return _record(_JUDGED, *[np.zeros(0, np.int64)] * 5)
+        block, d, s, n, p, hot, texts = rows
+        left, right = reaches(block, p, texts.tolist(), length, gram)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         offset = np.cumsum(size) - size
         n = n.astype(np.int64)
         own = np.repeat(np.arange(len(n)), n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        before = p[own] - step  # bytes of the string to the left of the anchor
+        can = hot[own].astype(bool) | ((before <= left[own]) & (length - gram - before <= right[own]))
+        own, step = own[can], step[can]
+        if not len(own):
+            return _record(_JUDGED, *[np.zeros(0, np.int64)] * 5)
         starts = offset[own] + step
         # equal strings hold the anchor at the same place: suffixes are grouped by anchor and place
         key = block[own].astype(np.int64)
@@ -443,10 +461,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     """(doc_id, lo, hi): byte spans of ``docs(doc_id, data)`` to remove; spans may overlap or touch."""
     parts = shuffle_parts(docs.sparkSession)
     found = docs.mapInArrow(tidy(_find(length, gram)), _FOUND)
-    to = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc_id"))
+    to = F.when(F.col("kind_e") < 1 << 32, F.col("a")).otherwise(F.xxhash64("doc_id"))
     grouped = (
         found.repartition(parts, to)
-        .sortWithinPartitions("kind", "a", "c", "e", "doc_id", "start")
+        .sortWithinPartitions("a", "c", "kind_e", "doc_id", "where")
         .mapInArrow(tidy(_group(length, block_contexts)), _GROUPED)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )

@@ -91,25 +91,26 @@ def test_one_id_with_several_texts(spark):
     assert sum(x[1] for x in removed if x[0] == 1) == 300 and S.without_repeats(df).columns == df.columns
 
 
-def test_contexts_that_share_a_string_are_partnered():
+def test_reaches_bound_what_contexts_share():
     rng = np.random.default_rng(11)
-    letters = lambda n: bytes(rng.choice(list(b"abcd"), n))
+    letters = lambda n: rng.choice(list(b"abcd"), n).astype(np.uint8).tobytes()
     block, place, texts = [], [], []
+    gram = b"GRAMGRAM"
     for _ in range(300):
-        p = int(rng.integers(0, 24))
-        left, right = letters(60), letters(60)
-        gram = b"GRAMGRAM"
-        mates = [(left[-int(rng.integers(0, 60)) or 60 :], right[: int(rng.integers(0, 60))]) for _ in range(3)]
-        for a, b in mates:
-            t = letters(24) + a + gram + b + letters(24)
+        left, right = letters(30), letters(30)
+        for _ in range(3):
+            a, b = left[int(rng.integers(0, 31)) :], right[: int(rng.integers(0, 31))]
+            t = letters(int(rng.integers(0, 24))) + a
             block.append(len(block) // 3)
-            place.append(24 + len(a))
-            texts.append(t)
-    marked = S.partnered(np.array(block), np.array(place), texts, 32, 8)
+            place.append(len(t))
+            texts.append(t + gram + b + letters(int(rng.integers(0, 24))))
+    low, high = S.reaches(np.array(block), np.array(place), texts, 32, 8, step=5)
+    shared = 0
     for i in range(len(texts)):
-        for j in range(i):
-            if block[i] == block[j]:
-                own = {(x - place[i], texts[i][x : x + 32]) for x in range(place[i] - 24, place[i] + 1) if 0 <= x and x + 32 <= len(texts[i])}
-                its = {(x - place[j], texts[j][x : x + 32]) for x in range(place[j] - 24, place[j] + 1) if 0 <= x and x + 32 <= len(texts[j])}
-                assert not own & its or marked[i] and marked[j]
-    assert 0 < marked.sum() < len(texts)
+        for j in range(i - i % 3, i):
+            for x in range(25):  # x bytes to the left of the anchor and 24 - x to the right
+                own, its = (texts[k][max(0, place[k] - x) : place[k] + 8 + 24 - x] for k in (i, j))
+                if len(own) == len(its) == 32 and own == its:
+                    shared += 1
+                    assert all(x <= low[k] and 24 - x <= high[k] for k in (i, j))
+    assert shared > 50 and (low < 24).mean() > 0.3 and (high < 24).mean() > 0.3
