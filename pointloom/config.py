@@ -6,6 +6,7 @@ from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
 
+# The names of the parameters and their defaults, in all classes below.
 @dataclass(frozen=True)
 class FilterConfig:
     max_range: float = 120.0
