@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage, shuffle_parts, table, tidy
+from .common import bounded_batches, cut_lineage, shuffle_parts, table, tidy, unused
 from .components import connected_components
 
 SHINGLE_WORDS = 4
@@ -200,11 +200,17 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
 
 def first_rows(docs: DataFrame, of: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``of(doc_id, component_id)`` names first, each once, and those with a null doc_id."""
-    first = of.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col("_first"), "left_semi")
-    rows = named.unionByName(docs.where("doc_id is null"))
-    rank = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
-    return rows.withColumn("_rank", F.row_number().over(rank)).where("_rank = 1").drop("_rank")
+    name, own, before = unused(docs, "first", "own", "before")
+    first = of.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    named = docs.where("doc_id is not null").join(first, F.col("doc_id") == F.col(name), "left_semi")
+
+    def once(rows: DataFrame, by: str) -> DataFrame:
+        """One row of those that ``by`` and the text agree in; by doc_id, rows stay where the join has put them."""
+        w = Window.partitionBy(by).orderBy(own, "source", "lang")
+        marked = rows.withColumn(own, F.xxhash64("text")).withColumn(before, F.lag(own).over(w))
+        return marked.where(F.col(before).isNull() | (F.col(before) != F.col(own))).drop(own, before)
+
+    return once(named, "doc_id").unionByName(once(docs.where("doc_id is null"), own))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

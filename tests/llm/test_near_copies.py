@@ -102,3 +102,18 @@ def test_large_group_null_ids_and_empty(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     assert sorted(str(r.doc_id) for r in N.keep_one(df).collect()) == ["0", "None"]
     assert N.keep_one(df.limit(0)).count() == 0
+
+
+def test_shingles_of_long_texts_are_those_of_their_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [("w" + str(rng.integers(10**6))).encode() for _ in range(3000)] + [b"x" * 1100, b"yz" * 300]
+    rng.shuffle(words)
+    line = b" ".join(words)
+    whole = N.shingles(line)
+    assert len(whole) == len(words) - 4
+    monkeypatch.setattr(N, "SPAN", 1 << 13)  # shingles of more than 1024 bytes stand alone in many parts
+    parts = N.shingles(line)
+    long = sum(len(b" ".join(words[i : i + 5])) > 1024 for i in range(len(words) - 4))
+    assert len(parts) == len(whole) and len(np.intersect1d(whole, parts)) == len(whole) - long and 0 < long < 20
+    assert set(N.shingles(b" ".join(words[:9])).tolist()) <= set(parts.tolist())
+    assert len(N.shingles(b"")) == len(N.shingles(b"a b")) == 1

@@ -95,3 +95,9 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (None, 3), (5, 5)], "a long, b long")
     comp = {r.node: r.root for r in connected_components(df).collect()}
     assert comp == {**{i: 0 for i in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "s", "en", 7, 8, 9), (2, "a b c d e f", "s", "en", 1, 2, 3), (3, "quite another text here now", "s", "en", 4, 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _rank int, rank int, first int")
+    assert sorted(tuple(r) for r in H.keep_one(df).collect()) == [rows[0], rows[2]] and H.keep_one(df).columns == df.columns
