@@ -219,7 +219,8 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, top: int = TOP, share:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     total = int(index.filled.sum())
     want = max(math.ceil(share * total), 2 * top + 2)
-    asked = usable.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = usable.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0).repartition(shuffle_parts(spark), "vec_id")  # visiting cells is work, not bytes
+    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     units = Units.of(index.filled, min(BLOCK, max(SMALL_BLOCK, total // shuffle_parts(spark))))
     shared = spark.sparkContext.broadcast((index, units))  # bounded by CENTROIDS
 
