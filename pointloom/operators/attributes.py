@@ -51,8 +51,8 @@ def marking_contrast(points: DataFrame, bright: float = 200.0, dark: float = 50.
     )
 
 
-def normalise(points: DataFrame, config: AttributeConfig | None = None) -> DataFrame:
-    """Range-compensated and clamped intensity, clipped colours, and a roughness proxy: the distance from the mean height.
+def normalise(points: DataFrame, config: AttributeConfig | None = None, roughness: bool = True) -> DataFrame:
+    """Range-compensated and clamped intensity, clipped colours, and if asked for a roughness proxy: the distance from the mean height.
 
     Without range or intensity the points are returned as they are.
     """
@@ -63,6 +63,8 @@ def normalise(points: DataFrame, config: AttributeConfig | None = None) -> DataF
     out = points.withColumn("intensity", clamp(i, config.intensity_min, config.intensity_max))
     if has(points, *RGB):
         out = normalise_rgb(out, config)
+    if not roughness:
+        return out
     mean = out.groupBy("scan_id").agg(F.avg("z").alias("_z"))
     return attach(out, mean, ["scan_id"]).withColumn("roughness", F.abs(F.col("z") - F.col("_z"))).drop("_z")
 

@@ -33,7 +33,7 @@ class Preprocess:
         return ground.normalise_local(points, self.config.ground)
 
     def normalise_attributes(self, points: DataFrame) -> DataFrame:
-        return attributes.normalise(points, self.config.attributes).drop("roughness")
+        return attributes.normalise(points, self.config.attributes, roughness=False)
 
     def prepared(self, points: DataFrame) -> DataFrame:
         """Filtered points with relative heights and normalised attributes.
