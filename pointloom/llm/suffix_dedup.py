@@ -13,10 +13,12 @@ doc_id, or the same document further left). The work is done in four steps.
 3. Different contexts below one anchor are compared as suffixes: a mergesort whose comparisons find
    the common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours
    that agree on ``length`` bytes are one class, verified byte by byte; all but the earliest of a
-   class are removed. An anchor with very many contexts is cut into blocks; what survives in
-   its blocks is settled by the smallest start per class, a 128-bit digest of its bytes. A string that two contexts
-   share has ``length - gram`` bytes beside the anchor, and both contexts agree on those to its left and to its right; suffixes
-   of which a context agrees with no other one that far on either side are not sorted.
+   class are removed. A string that two contexts share has ``length - gram`` bytes beside the anchor, and both contexts agree
+   on those to its left and to its right; suffixes of which a context agrees with no other one that far on either side are
+   not sorted. The starts of an anchor with very many contexts are dealt anew: strings that begin within ``BIN`` bytes, seen from
+   the anchor, have all but ``BIN - 1`` of their bytes in common places, and only contexts that agree on these are compared.
+   Where even these are very many they are cut into blocks; what survives in the blocks is settled by the smallest start per
+   class, a 128-bit digest of its bytes.
 4. The removed spans of a document are joined, and its remaining bytes are what is kept.
 """
 
@@ -42,8 +44,9 @@ GRAM = 24
 #: Starts of a text that are looked at together, and the bits that hold a place among them.
 CHUNK = 1 << 18
 PLACE = np.uint64((1 << 24) - 1)
-#: Contexts of one anchor that are sorted together; more are cut into blocks of so many.
+#: Contexts that are sorted together; of an anchor that has more, the starts are dealt anew in bins of so many.
 BLOCK_CONTEXTS = 1024
+BIN = 11
 MULTIPLIERS = tuple(np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -268,13 +271,13 @@ def _group(length: int, block_contexts: int):
     """Rows of _FOUND sorted by (a, c, kind_e, doc_id, where): spans of repeated contexts, and the contexts that must be compared.
 
     At most ``block_contexts`` rows are held: an anchor's contexts are told once it has a second one,
-    and go out in blocks, marked hot, as soon as they are more than that.
+    and go out, marked hot, as soon as they are more than that.
     """
 
-    def tell(rows, hot, index):
+    def tell(rows, hot):
         a, d, s, n, p = rows
         minus = np.full(len(a), -1)
-        return d, s, n, p, minus, minus, a + index // block_contexts, np.broadcast_to(hot, len(a))
+        return d, s, n, p, minus, minus, a, np.broadcast_to(hot, len(a))
 
     def run(batches):
         last = None  # (a, c, e, doc_id, start) of the row before
@@ -313,22 +316,20 @@ def _group(length: int, block_contexts: int):
                     new = _first_of(ra)
                     begin = np.flatnonzero(new)
                     size = np.diff(np.concatenate((begin, [len(ra)])))
-                    index = np.arange(len(ra)) - np.repeat(begin, size)
-                    index[: size[0]] += hot_rows
                     size[0] += hot_rows
                     total = np.repeat(size, np.diff(np.concatenate((begin, [len(ra)]))))
                     final = int(begin[-1])
                     whole = total[-1] > block_contexts  # the last anchor is hot: nothing of it is held
                     stop = len(ra) if whole else final
                     go = np.flatnonzero(total[:stop] > 1)
-                    out.append(tell(tuple(x[go] for x in rows), total[go] > block_contexts, index[go]))
+                    out.append(tell(tuple(x[go] for x in rows), total[go] > block_contexts))
                     if whole:
                         hot, hot_rows, carry = ra[-1], int(total[-1]), None
                     else:
                         hot_rows, carry = 0, tuple(x[final:] for x in rows)
             yield _record(_GROUPED, *(np.concatenate(x) for x in zip(*out)))
         if carry is not None and len(carry[0]) > 1:
-            yield _record(_GROUPED, *tell(carry, False, np.arange(len(carry[0]))))
+            yield _record(_GROUPED, *tell(carry, False))
 
     return run
 
@@ -363,12 +364,14 @@ def reaches(block: np.ndarray, place: np.ndarray, texts: list[bytes], length: in
     return out
 
 
-def _compare(length: int, gram: int):
-    """Rows of _CONTEXT sorted by block: the spans removed, and the classes of hot anchors that must still be settled."""
+def _compare(length: int, gram: int, block_contexts: int):
+    """Rows of _CONTEXT sorted by block: the spans removed, and the classes of blocks that are cut, which must still be settled."""
 
-    def judge(rows):
+    def judge(rows, cut=False):
         block, d, s, n, p, hot, texts = rows
-        left, right = reaches(block, p, texts.tolist(), length, gram)
+        hot = hot.astype(bool)
+        left, right = np.full((2, len(texts)), length - gram)
+        left[~hot], right[~hot] = reaches(block[~hot], p[~hot], texts[~hot].tolist(), length, gram)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         data = np.frombuffer(b"".join(texts), np.uint8)
         offset = np.cumsum(size) - size
@@ -376,7 +379,7 @@ def _compare(length: int, gram: int):
         own = np.repeat(np.arange(len(n)), n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         before = p[own] - step  # bytes of the string to the left of the anchor
-        can = hot[own].astype(bool) | ((before <= left[own]) & (length - gram - before <= right[own]))
+        can = (before <= left[own]) & (length - gram - before <= right[own])
         own, step = own[can], step[can]
         if not len(own):
             return _record(_JUDGED, *[np.zeros(0, np.int64)] * 5)
@@ -392,26 +395,54 @@ def _compare(length: int, gram: int):
         doc, at = d[own[by]], s[own[by]] + step[by]
         gone = np.flatnonzero(same)
         out = [(doc[gone], at[gone], at[gone] + length, np.zeros(len(gone), np.int64), np.zeros(len(gone), np.int64))]
-        open_ = np.flatnonzero(~same & hot[own[by]])
-        if len(open_):
+        open_ = np.flatnonzero(~same)
+        if cut and len(open_):
             x = starts[by[open_]]
             view = memoryview(data)
             key = digests(view[i : i + length] for i in x.tolist()).view(np.int64)
             out.append((doc[open_], at[open_], np.full(len(open_), -1), key[:, 0], key[:, 1]))
         return _record(_JUDGED, *_joined(*(np.concatenate(x) for x in zip(*out))))
 
+    def whole(rows):
+        """Blocks that are at hand as a whole; one context alone has nothing to be compared with."""
+        block = rows[0]
+        new = _first_of(block)
+        alone = new & np.append(new[1:], True)
+        if alone.all():
+            return
+        rows = [x[~alone] for x in rows]
+        cut = np.append(np.flatnonzero(_first_of(rows[0])), len(rows[0]))
+        large = np.diff(cut) > block_contexts
+        rest = np.repeat(~large, np.diff(cut))
+        if rest.any():
+            yield judge([x[rest] for x in rows])
+        for k in np.flatnonzero(large).tolist():
+            yield from blocks([x[cut[k] : cut[k + 1]] for x in rows])
+
+    def blocks(rows):
+        for i in range(0, len(rows[0]), block_contexts):
+            yield judge([x[i : i + block_contexts] for x in rows], True)
+
     def run(batches):
-        held = None
+        held, at = None, None  # at: the block at hand, if a part of it has gone out
         for b in batches:
             rows = _columns(b)
             held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
-            if len(held[0]) >= 2_000:
-                last = int(np.searchsorted(held[0] == held[0][-1], True))
+            if at is not None and len(held[0]) and (more := int(np.searchsorted(held[0] != at, True))) < len(held[0]):
+                yield from blocks([x[:more] for x in held])
+                held, at = [x[more:] for x in held], None
+            if len(held[0]) >= max(2_000, 2 * block_contexts):
+                last = 0 if at is not None else int(np.searchsorted(held[0] == held[0][-1], True))
                 if last:
-                    yield judge([x[:last] for x in held])
+                    yield from whole([x[:last] for x in held])
                     held = [x[last:] for x in held]
+                if len(held[0]) > block_contexts:
+                    full = len(held[0]) // block_contexts * block_contexts
+                    at = held[0][0]
+                    yield from blocks([x[:full] for x in held])
+                    held = [x[full:] for x in held]
         if held is not None and len(held[0]):
-            yield judge(held)
+            yield from (whole(held) if at is None else blocks(held))
 
     return run
 
@@ -437,9 +468,33 @@ def _texts(column) -> list[bytes]:
     return [expand(x) for x in column.to_pylist()]
 
 
-def _contexts(length: int):
+def bins(text: bytes, s: int, n: int, p: int, length: int, gram: int):
+    """The starts of a context in bins of BIN, told by the bytes to the left of the anchor: (block, start, number, place, bytes).
+
+    All strings of a bin hold the bytes that block is the hash of, at the same place from the anchor.
+    """
+    most = length - gram
+    for low in range(0, min(p, most) + 1, BIN):
+        high = min(low + BIN - 1, most)
+        i, j = max(0, p - high), min(n - 1, p - low)
+        if i <= j:
+            yield xxhash.xxh64_intdigest(text[p - low : p + length - high], low), s + i, j - i + 1, p - i, text[i : j + length]
+
+
+def _contexts(length: int, gram: int):
     """Cut the bytes of each context out of its document; rows are (doc_id, squeezed data, contexts)."""
 
+    def dealt(block, doc, s, n, p, hot, text):
+        """The hot rows in bins."""
+        at = np.flatnonzero(hot).tolist()
+        found = [(doc[k], x) for k in at for x in bins(text[k], int(s[k]), int(n[k]), int(p[k]), length, gram)]
+        if not found:
+            return
+        b, s, n, p, text = zip(*(x for _, x in found))
+        yield _record(
+            _CONTEXT, np.array(b, np.uint64).view(np.int64), np.array([d for d, _ in found]), *map(np.array, (s, n, p)), np.ones(len(b), bool), pa.array(text, pa.binary())
+        )
+
     def run(batches):
         for b in batches:
             datas = _texts(b.column(1))
@@ -452,7 +507,11 @@ def _contexts(length: int):
                 k = slice(i, i + 4_000)
                 ends = (s[k] + n[k] + length - 1).tolist()
                 text = [datas[o][x:y] for o, x, y in zip(own[k].tolist(), s[k].tolist(), ends)]
-                yield _record(_CONTEXT, block[k], doc[k], s[k], n[k], p[k], hot[k], pa.array(text, pa.binary()))
+                row = block[k], doc[k], s[k], n[k], p[k], hot[k].astype(bool)
+                yield from dealt(*row, text)
+                cool = ~row[-1]
+                if cool.any():
+                    yield _record(_CONTEXT, *(x[cool] for x in row), pa.array([x for x, c in zip(text, cool.tolist()) if c], pa.binary()))
 
     return run
 
@@ -475,11 +534,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         .agg(F.collect_list(F.struct("block", "start", "n", "place", "hot")).alias("rows"))
     )
     squeezed = docs.mapInArrow(tidy(_squeeze), docs.schema)
-    contexts = squeezed.join(asked, "doc_id").select("doc_id", "data", "rows").mapInArrow(tidy(_contexts(length)), _CONTEXT)
+    contexts = squeezed.join(asked, "doc_id").select("doc_id", "data", "rows").mapInArrow(tidy(_contexts(length, gram)), _CONTEXT)
     judged = (
         contexts.repartition(parts, "block")
         .sortWithinPartitions("block")
-        .mapInArrow(tidy(_compare(length, gram)), _JUDGED)
+        .mapInArrow(tidy(_compare(length, gram, block_contexts)), _JUDGED)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     settled = judged.where("hi >= 0").select("doc_id", "lo", "hi")

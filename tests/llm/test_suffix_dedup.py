@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -114,3 +115,54 @@ def test_reaches_bound_what_contexts_share():
                     shared += 1
                     assert all(x <= low[k] and 24 - x <= high[k] for k in (i, j))
     assert shared > 50 and (low < 24).mean() > 0.3 and (high < 24).mean() > 0.3
+
+
+def judged(docs, block_contexts, rows=300):
+    """Spans and open classes of documents, by the steps in one process."""
+    batches = lambda table, n=rows: table.to_batches(max_chunksize=n)
+    data = pa.table({"doc_id": pa.array([i for i, _ in docs], pa.int64()), "data": pa.array([t for _, t in docs], pa.binary())})
+    found = pa.Table.from_batches(S._find(100, 24)(batches(data))).sort_by([(c, "ascending") for c in ("a", "c", "kind_e", "doc_id", "where")])
+    grouped = pa.Table.from_batches(S._group(100, block_contexts)(batches(found))).to_pylist()
+    asked = {}
+    for r in grouped:
+        if r["lo"] < 0:
+            asked.setdefault(r["doc_id"], []).append({k: r[k] for k in ("block", "start", "n", "place", "hot")})
+    squeezed = pa.Table.from_batches(S._squeeze(batches(data))).to_pylist()
+    kind = pa.list_(pa.struct([("block", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("hot", pa.bool_())]))
+    wanted = [(r["doc_id"], r["data"], asked[r["doc_id"]]) for r in squeezed if r["doc_id"] in asked]
+    ids, texts, lists = zip(*wanted)
+    joined = pa.table({"doc_id": pa.array(ids, pa.int64()), "data": pa.array(texts, pa.binary()), "rows": pa.array(lists, kind)})
+    contexts = pa.Table.from_batches(S._contexts(100, 24)(batches(joined))).sort_by("block")
+    out = pa.Table.from_batches(S._compare(100, 24, block_contexts)(batches(contexts))).to_pylist()
+    first, spans = {}, [(r["doc_id"], r["lo"], r["hi"]) for r in out if r["hi"] >= 0] + [(r["doc_id"], r["lo"], r["hi"]) for r in grouped if r["lo"] >= 0]
+    open_ = [((r["k1"], r["k2"]), (r["doc_id"], r["lo"])) for r in out if r["hi"] < 0]
+    for k, at in open_:
+        first[k] = min(at, first.get(k, at))
+    return spans + [(*at, at[1] + 100) for k, at in open_ if at > first[k]], len(open_)
+
+
+def test_a_frequent_line_is_not_sorted_with_all_its_surroundings():
+    rng = np.random.default_rng(12)
+    letters = lambda n: rng.choice(list(b"abcdefgh "), n).astype(np.uint8).tobytes()
+    line = letters(76)
+    docs = [(i, letters(120) + line + letters(120)) for i in range(400)]
+    spans, open_ = judged(docs, 32)
+    assert spans == [] and open_ == 0  # no two documents share 100 bytes
+    docs += [(500 + i, docs[i][1][60:] + letters(50)) for i in range(40)]
+    spans, _ = judged(docs, 32)
+    assert {d for d, _, _ in spans} == set(range(500, 540))
+
+
+@pytest.mark.parametrize("block, rows", [(64, 300), (1024, 700), (2, 5000)])
+def test_a_frequent_passage_is_cut_into_blocks_and_loses_nothing(block, rows):
+    rng = np.random.default_rng(13)
+    letters = lambda n: rng.choice(list(b"abcdefgh "), n).astype(np.uint8).tobytes()
+    line = letters(130)
+    docs = [(i, letters(int(rng.integers(0, 60))) + line + letters(int(rng.integers(0, 60)))) for i in range(2600)]
+    spans, open_ = judged(docs, block, rows)
+    assert open_ > 0
+    gone = {}
+    for d, lo, hi in spans:
+        gone.setdefault(d, set()).update(range(lo, hi))
+    want = S.brute_force(docs)
+    assert {d: len(x) for d, x in gone.items()} == {d: v[1] for d, v in want.items() if v[1]}
