@@ -17,7 +17,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked at a similarity of 0.8 or more on five-word shingles (operator 7 at a similarity)."""
+    """Keep one document of each group linked at a similarity of 0.8 or more on five-word shingles.
+
+    Candidates are operator 7's links of fingerprints, at six bits, and texts that share bands of minimum hashes.
+    """
     return near_copies.keep_one(docs)
 
 

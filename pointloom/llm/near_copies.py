@@ -1,7 +1,9 @@
 """Near-copies by similarity: operator 7's tiled comparison for texts of a Jaccard similarity of 0.8 or more on five-word shingles.
 
-At that similarity two 64-bit fingerprints differ in ten bits or so and at times in twenty, which no choice of agreeing
-blocks can find without comparing nearly all pairs. So texts meet in buckets of another kind here, bands of minimum
+Texts come to be compared in two ways. Operator 7 links the fingerprints of the texts' five-word shingles, at NEAR bits instead
+of its four, through buckets of agreeing blocks that are compared exactly; the texts of a component share a bucket here.
+At a similarity of 0.8 two 64-bit fingerprints differ in ten bits or so and at times in twenty, which no choice of agreeing
+blocks can find without comparing nearly all pairs. So texts meet in buckets of another kind too, bands of minimum
 hashes: texts of similarity s share one with probability ``1 - (1 - s**ROWS)**BANDS``, above 0.9999 at 0.8. What shares
 buckets forms groups; a group within LOAD is one unit of work, a larger one is compared bucket by bucket, and a bucket
 beyond LOAD as pairs of tiles. So every two texts of a bucket are compared, however many there are.
@@ -30,6 +32,9 @@ from .hashing import PrefixHashes, mix
 SHINGLE_WORDS = 5
 #: Least similarity as a fraction, so that comparing is exact.
 SIMILAR = (4, 5)
+#: Fingerprint bits in which operator 7's links may differ here, and its blocks.
+NEAR = 6
+BLOCKS = 8
 BANDS = 20
 ROWS = 4
 SEED = 42
@@ -219,32 +224,34 @@ def _compare(batches):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n, keys) for each row: the text's node, its number of shingles and its bands.
+    """(doc_id, node, n, fp, keys) for each row: the text's node, its number of shingles, its fingerprint and its bands.
 
-    Rows of equal words are one node; its bands are given once in a task and null on later rows.
+    Rows of equal words are one node; what follows it is given once in a task and null on later rows.
     """
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, fps, keys = [], [], [], []
             for text in b.column(1).to_pylist():
                 line = line_of(text)
                 nodes.append(node := _node(line))
                 if node in seen:
                     sizes.append(None)
+                    fps.append(None)
                     keys.append(None)
                 else:
                     seen.add(node)
                     grams = shingles(line)
                     sizes.append(len(grams))
+                    fps.append(int(fingerprint(grams).view(np.int64)))
                     keys.append(bands(grams))
-            cols = [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "keys"])
+            cols = [b.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "n", "fp", "keys"])
 
     bounded_batches(docs.sparkSession)
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return wanted.mapInArrow(tidy(run), "doc_id long, node long, n long, keys array<long>")
+    return wanted.mapInArrow(tidy(run), "doc_id long, node long, n long, fp long, keys array<long>")
 
 
 def _lines(docs: DataFrame, sketched: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -295,10 +302,18 @@ def units(held: DataFrame, groups: DataFrame, load: int = LOAD, texts: int = TEX
     return small.union(plain).union(pairs)
 
 
+def fingerprint_keys(sketched: DataFrame, radius: int = NEAR, blocks: int = BLOCKS) -> DataFrame:
+    """(node, n, key) for each sketched node: the key names the component of its fingerprint over links of at most ``radius`` bits."""
+    rows = sketched.where("keys is not null").select("node", "n", "fp")
+    found = simhash.near_links(rows.select("fp").distinct(), radius, blocks)
+    comp = connected_components(found).select(F.col("node").alias("of"), "root")
+    return rows.join(comp, F.col("fp") == F.col("of"), "left").select("node", "n", F.xxhash64(F.lit(3), F.coalesce("root", "fp")).alias("key"))
+
+
 def links(docs: DataFrame, sketched: DataFrame, load: int = LOAD, texts: int = TEXTS) -> DataFrame | None:
-    """(node, root) of the nodes that are similar to another, or None where no two texts share a band."""
+    """(node, root) of the nodes that are similar to another, or None where no two texts share a bucket."""
     spark = docs.sparkSession
-    rows = sketched.where("keys is not null").select("node", "n", F.explode("keys").alias("key"))
+    rows = sketched.where("keys is not null").select("node", "n", F.explode("keys").alias("key")).union(fingerprint_keys(sketched))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
     held = cut_lineage(rows.join(shared, "key").distinct())
     if held.isEmpty():

@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pointloom.llm import near_copies as N
 from pointloom.llm import simhash
+from pyspark.sql import functions as F
 
 
 def grams(text):
@@ -117,3 +118,26 @@ def test_shingles_of_long_texts_are_those_of_their_parts(monkeypatch):
     assert len(parts) == len(whole) and len(np.intersect1d(whole, parts)) == len(whole) - long and 0 < long < 20
     assert set(N.shingles(b" ".join(words[:9])).tolist()) <= set(parts.tolist())
     assert len(N.shingles(b"")) == len(N.shingles(b"a b")) == 1
+
+
+def test_fingerprint_links_find_candidates_without_bands(spark):
+    texts = corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sketched = N.sketches(df).cache()
+    key = {r.node: r.key for r in N.fingerprint_keys(sketched).collect()}
+    fps = {r.node: r.fp % 2**64 for r in sketched.where("keys is not null").collect()}
+    nodes = sorted(fps)
+    comp = {a: a for a in nodes}
+    for a in nodes:
+        for b in nodes:
+            if a < b and bin(fps[a] ^ fps[b]).count("1") <= N.NEAR and comp[a] != comp[b]:
+                comp = {k: comp[a] if c == comp[b] else c for k, c in comp.items()}
+    assert all((key[a] == key[b]) == (comp[a] == comp[b]) for a in nodes for b in nodes)
+    alone = sketched.withColumn("keys", F.when(F.col("keys").isNotNull(), F.array("node")))  # no two texts share a band
+    linked = {r.node: r.root for r in N.links(df, alone).collect()}
+    at = {r.doc_id: r.node for r in sketched.collect()}
+    want = groups(texts)
+    assert len(linked) > 20 and all(want[i] == want[j] for i in at for j in at if i < j and at[i] in linked and linked[at[i]] == linked.get(at[j]))
+    pairs = [(i, j) for i in at for j in at if i < j and want[i] == want[j] and len(grams(texts[i]) & grams(texts[j])) >= 0.95 * len(grams(texts[i]) | grams(texts[j])) and at[i] != at[j]]
+    near = [(i, j) for i, j in pairs if bin(fps[at[i]] ^ fps[at[j]]).count("1") <= N.NEAR]
+    assert near and all(linked[at[i]] == linked[at[j]] for i, j in near)
