@@ -127,7 +127,7 @@ def _too_far(less: int, more: int) -> bool:
 def _bits(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
     """Bit sets of ``sets`` over sorted ``columns``; what is in no column is left out."""
     out = np.zeros((len(sets), -(-len(columns) // 64) * 64 if len(columns) else 64), bool)
-    for k, s in enumerate(sets):
+    for k, s in enumerate(sets if len(columns) else []):  # texts near by their fingerprints may share no shingle
         at = np.searchsorted(columns, s)
         at[at == len(columns)] = 0
         out[k, at[columns[at] == s]] = True

@@ -141,3 +141,10 @@ def test_fingerprint_links_find_candidates_without_bands(spark):
     pairs = [(i, j) for i in at for j in at if i < j and want[i] == want[j] and len(grams(texts[i]) & grams(texts[j])) >= 0.95 * len(grams(texts[i]) | grams(texts[j])) and at[i] != at[j]]
     near = [(i, j) for i, j in pairs if bin(fps[at[i]] ^ fps[at[j]]).count("1") <= N.NEAR]
     assert near and all(linked[at[i]] == linked[at[j]] for i, j in near)
+
+
+def test_texts_near_by_fingerprint_that_share_no_shingle():
+    a = np.arange(1, 4, dtype=np.uint64) << np.uint64(9)
+    b = a + np.uint64(1)
+    assert N._bits([a, b], np.zeros(0, np.uint64)).sum() == 0
+    assert N.similar_forest([a, b]) == [] and bin(int(N.fingerprint(a) ^ N.fingerprint(b))).count("1") <= N.NEAR
